@@ -13,4 +13,5 @@ from .core import (  # noqa: F401
     replicates,
     seconds,
     u01,
+    with_row,
 )

@@ -18,8 +18,12 @@ def col(c) -> Column:
 
 
 def r6(c) -> Column:
-    """Round to 6 places; adding 0.0 turns -0.0 into 0.0."""
-    return F.round(col(c).cast("double"), 6) + F.lit(0.0)
+    """Round to 6 places.
+
+    The small shift keeps exact decimal ties (means of 2-decimal values) off the
+    rounding border, where summation order would decide; + 0.0 removes -0.0.
+    """
+    return F.round(col(c).cast("double") + F.lit(3.3e-10), 6) + F.lit(0.0)
 
 
 def r4(c) -> Column:
@@ -71,6 +75,11 @@ def replicates(df: DataFrame, n: int, name: str = "rep") -> DataFrame:
     return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name))
 
 
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row (a one-row broadcast)."""
+    return df.join(F.broadcast(one))
+
+
 def mean_abs(c) -> Column:
     return F.avg(F.abs(col(c)))
 

@@ -1,10 +1,11 @@
 """Ordered computations inside groups of any size.
 
-A plain window puts a whole group into one task. Here a group larger than
-``quorumstat.chunkRows`` rows is cut into order-preserving slices, the window runs
-per (group, slice), and one carry row per slice links the slices. Smaller groups
-keep a NULL slice and cost one extra aggregate. Slice borders come from exact
-counts, minima and maxima only, so a recomputed task cuts the same way.
+A plain window puts a whole group into one task. ``fits`` therefore checks group
+sizes first (one aggregate). Where every group has at most ``quorumstat.chunkRows``
+rows the plain window runs. Otherwise groups above that size are cut into
+order-preserving slices, the window runs per (group, slice), and one carry row per
+slice links the slices. Slice borders come from exact counts, minima and maxima
+only, so a recomputed task cuts the same way.
 """
 
 from __future__ import annotations
@@ -25,6 +26,19 @@ def chunk_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(CHUNK_CONF, str(CHUNK_ROWS)))
 
 
+def fits(df: DataFrame, by: list[str]) -> bool:
+    """True if every group of ``by`` (the whole table for no keys) fits one slice."""
+    rows = chunk_rows(df)
+    if not by:
+        return df.count() <= rows
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).isEmpty()
+
+
+def few(df: DataFrame, *cols: str) -> bool:
+    """True if the number of distinct keys fits one slice."""
+    return fits(df.select(*cols).distinct(), [])
+
+
 def _big_groups(df, by, pos, base, base_by):
     """Groups above the slice size: at most total rows / slice size of them."""
     rows = chunk_rows(df)
@@ -89,7 +103,8 @@ def _combine(kind, local, carry, first):
 
 
 def scan(df: DataFrame, by: list[str], order: list[str], pos, outs: dict, *, reverse: bool = False,
-         base: DataFrame | None = None, base_by: list[str] | None = None) -> DataFrame:
+         base: DataFrame | None = None, base_by: list[str] | None = None,
+         small: bool | None = None) -> DataFrame:
     """Running values along ``order`` inside ``by``, any group size.
 
     ``outs`` maps an output name to (kind, column) with kind one of ``row`` (row
@@ -97,8 +112,11 @@ def scan(df: DataFrame, by: list[str], order: list[str], pos, outs: dict, *, rev
     ``lag`` (previous row). ``reverse`` runs from the end: ``last`` becomes the next
     non-null value and ``lag`` the following row.
     """
-    every, sliced = slice_groups(df, by, pos, base, base_by)
-    keys = [*by, "_c"]
+    if small is None:
+        small = fits(df, by) if base is None else fits(base, base_by)
+    if not small:
+        every, sliced = slice_groups(df, by, pos, base, base_by)
+    keys = by if small else [*by, "_c"]
     direction = [col(o).desc() if reverse else col(o).asc() for o in order]
     w = W.partitionBy(*keys).orderBy(*direction)
     cum = w.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -108,7 +126,7 @@ def scan(df: DataFrame, by: list[str], order: list[str], pos, outs: dict, *, rev
     at = F.struct(*[col(o) for o in order])
 
     local, summary, carry = [], [], []
-    need_first = any(k == "lag" for k, _ in outs.values())
+    need_first = not small and any(k == "lag" for k, _ in outs.values())
     if need_first:
         local.append(F.row_number().over(w).alias("_first"))
     for name, (kind, c) in outs.items():
@@ -131,11 +149,13 @@ def scan(df: DataFrame, by: list[str], order: list[str], pos, outs: dict, *, rev
             ca = F.last
         else:
             raise ValueError(kind)
-        local.append(lo.alias(f"_l_{name}"))
+        local.append(lo.alias(name if small else f"_l_{name}"))
         summary.append(su.alias(f"_s_{name}"))
         ov = ca(F.col(f"_s_{name}")).over(before)
         carry.append((ov.getField("v") if kind == "lag" else ov).alias(f"_k_{name}"))
 
+    if small:
+        return df.select(*[c for c in df.columns if c not in outs], *local)
     left = every.select("*", *local)
     links = sliced.groupBy(*keys).agg(*summary).select(*keys, *carry)
     out = left.join(links, keys, "left")
@@ -147,46 +167,63 @@ def scan(df: DataFrame, by: list[str], order: list[str], pos, outs: dict, *, rev
     return out.select(*[c for c in df.columns if c not in outs], *final)
 
 
-def row_numbers(df, by, order, pos, out="rn", base=None, base_by=None) -> DataFrame:
-    return scan(df, by, order, pos, {out: ("row", None)}, base=base, base_by=base_by)
+def row_numbers(df, by, order, pos, out="rn", base=None, base_by=None, small=None) -> DataFrame:
+    return scan(df, by, order, pos, {out: ("row", None)}, base=base, base_by=base_by, small=small)
 
 
-def keyed_order(df, by, u: Column, key: str, out="rn", base=None, base_by=None) -> DataFrame:
+def keyed_order(df, by, u: Column, key: str, out="rn", base=None, base_by=None, small=None) -> DataFrame:
     """Row number in the order of a keyed random draw, ties broken by the key."""
     d = df.withColumn("_u", u)
-    return row_numbers(d, by, ["_u", key], F.col("_u"), out, base, base_by).drop("_u")
+    return row_numbers(d, by, ["_u", key], F.col("_u"), out, base, base_by, small).drop("_u")
 
 
 def value_counts(df: DataFrame, by: list[str], c: str, weight: str | None = None) -> DataFrame:
     """Distinct values per group with their cumulative count: the sorted histogram."""
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     v = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(n.alias("_m"))
-    return scan(v, by, [c], F.asinh(F.col(c).cast("double")), {"_cum": ("sum", "_m")})
+    return scan(v, by, [c], F.asinh(F.col(c).cast("double")), {"_cum": ("sum", "_m")}, small=False)
 
 
-def avg_ranks(df: DataFrame, by: list[str], cols: dict[str, str],
-              weight: str | None = None) -> DataFrame:
+def avg_ranks(df: DataFrame, by: list[str], cols: dict[str, str], weight: str | None = None,
+              small: bool | None = None) -> DataFrame:
     """Average rank over ties of each column inside ``by``; NULLs get no rank.
 
-    Ranks are worked out on the histogram of distinct values, then joined back.
+    Groups above the slice size are ranked on the histogram of their distinct
+    values, which is then joined back.
     """
+    if small is None:
+        small = fits(df, by)
+    if small:
+        one = F.lit(1) if weight is None else F.col(weight)
+        new = []
+        for name, c in cols.items():
+            w = F.when(F.col(c).isNotNull(), one).otherwise(0)
+            cum = F.sum(w).over(W.partitionBy(*by).orderBy(c).rangeBetween(W.unboundedPreceding, W.currentRow))
+            tie = F.sum(w).over(W.partitionBy(*by, c))
+            new.append(F.when(F.col(c).isNotNull(), cum - (tie - 1) / F.lit(2.0)).alias(name))
+        return df.select("*", *new)
     out = df
     for name, c in cols.items():
         v = value_counts(df, by, c, weight)
-        r = v.select(
-            *by, c, (F.col("_cum") - (F.col("_m") - 1) / F.lit(2.0)).alias(name)
-        )
+        r = v.select(*by, c, (F.col("_cum") - (F.col("_m") - 1) / F.lit(2.0)).alias(name))
         out = out.join(r, [*by, c], "left")
     return out.select(*df.columns, *cols)
 
 
-def quantiles(df: DataFrame, by: list[str], c: str, qs: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per group from the sorted histogram."""
+def quantiles(df: DataFrame, by: list[str], c: str, qs: dict[str, float], small: bool | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per group.
+
+    Groups above the slice size are read off the sorted histogram, so no task holds
+    all values of a group.
+    """
+    if small is None:
+        small = fits(df, by)
+    if small:
+        return df.groupBy(*by).agg(*[F.percentile(c, F.lit(float(q))).alias(n) for n, q in qs.items()])
     v = value_counts(df, by, c)
+    keys = by
     if not by:
         v, keys = v.withColumn("_g", F.lit(0)), ["_g"]
-    else:
-        keys = by
     tot = v.groupBy(*keys).agg(F.sum("_m").alias("_n"))
     j = v.join(tot, keys)
     aggs, finals = [], []
