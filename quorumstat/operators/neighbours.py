@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.core import u01, with_row
+from .ordered import chunk_rows
 from .vectors import distance, doubles
 
-PIVOTS = 16
-
 
 def _pivots(df: DataFrame, key: str, vec: str, n: int) -> DataFrame:
     """A keyed sample of n vectors as one array row (n is a constant)."""
@@ -27,12 +26,16 @@ def _pivots(df: DataFrame, key: str, vec: str, n: int) -> DataFrame:
 
 
 def knn(queries: DataFrame, base: DataFrame, qkey: str, bkey: str, vec: str, k: int,
-        exclude_same: bool = False, pivots: int = PIVOTS) -> DataFrame:
+        exclude_same: bool = False) -> DataFrame:
     """The k nearest base rows of every query row: (qkey, bkey, distance, rank).
 
     Ties go to the smaller base key. With ``exclude_same`` a row is not its own
-    neighbour (both sides then share their keys).
+    neighbour (both sides then share their keys). Pivots grow with the square root of
+    the base (16 to 512); a crowded cell is salted so that no task holds it whole.
     """
+    n_base = base.count()
+    pivots = min(512, max(16, int(n_base ** 0.5) // 2))
+    salts = -(-n_base // chunk_rows(base))
     q = queries.select(F.col(qkey).alias("_q"), doubles(vec).alias("_qv"))
     b = base.select(F.col(bkey).alias("_b"), doubles(vec).alias("_bv"))
     need = k + 1 if exclude_same else k
@@ -57,8 +60,10 @@ def knn(queries: DataFrame, base: DataFrame, qkey: str, bkey: str, vec: str, k:
     visit = F.filter("_cells", lambda c: F.element_at("_d", c["_cell"]) - c["_rad"] <= F.col("_ub") + 1e-9)
     d = d.select("_q", "_qv", "_d", "_ub", F.explode(F.transform(visit, lambda c: c["_cell"])).alias("_cell"))
     d = d.withColumn("_dp", F.element_at("_d", F.col("_cell"))).drop("_d")
+    d = d.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    b_side = cells.withColumn("_salt", F.pmod(F.xxhash64("_b"), F.lit(salts)).cast("int"))
 
-    j = d.join(cells, "_cell").filter(F.abs(F.col("_dp") - F.col("_r")) <= F.col("_ub") + 1e-9)
+    j = d.join(b_side, ["_cell", "_salt"]).filter(F.abs(F.col("_dp") - F.col("_r")) <= F.col("_ub") + 1e-9)
     if exclude_same:
         j = j.filter(F.col("_q") != F.col("_b"))
     j = j.select("_q", "_b", F.round(distance(F.col("_qv"), F.col("_bv")), 9).alias("distance"))

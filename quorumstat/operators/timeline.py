@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,21 +219,24 @@ def median_split(df: DataFrame, unit: list[str], q: str) -> DataFrame:
     return d.withColumns({"hi_global": F.col(q) > F.col("_g"), "hi_within": F.col(q) > F.col("_u")}).drop("_g", "_u")
 
 
-def _solve(rows: list[list], rhs: list) -> list:
-    """Gaussian elimination on columns: one small system per row, no pivoting."""
-    a = [r[:] + [b] for r, b in zip(rows, rhs)]
-    n = len(a)
-    for i in range(n):
-        for k in range(i + 1, n):
-            f = div(a[k][i], a[i][i])
-            a[k] = [a[k][j] - f * a[i][j] if j > i else F.lit(0.0) for j in range(n + 1)]
-    x = [None] * n
-    for i in reversed(range(n)):
-        s = a[i][n]
-        for j in range(i + 1, n):
-            s = s - a[i][j] * x[j]
-        x[i] = div(s, a[i][i])
-    return x
+def _solver(size: int, rhs: int):
+    """Vectorised solve of one small linear system per row (numpy, batched).
+
+    Input: the matrix and the right-hand sides as one flat array; singular systems give
+    NULLs.
+    """
+    @F.pandas_udf("array<double>")
+    def solve(flat: pd.Series) -> pd.Series:
+        a = np.array(flat.tolist(), dtype=float).reshape(len(flat), size + rhs, size)
+        m, r = a[:, :size, :], np.swapaxes(a[:, size:, :], 1, 2)
+        ok = np.abs(np.linalg.det(m)) > 1e-9
+        out = np.full((len(flat), size, rhs), np.nan)
+        if ok.any():
+            out[ok] = np.linalg.solve(m[ok], r[ok])
+        out = np.swapaxes(out, 1, 2).reshape(len(flat), -1)
+        return pd.Series([None if not k else list(v) for k, v in zip(ok, out)])
+
+    return solve
 
 
 def control_order(df: DataFrame, by: list[str], order: str, x: str, y: str, degree: int = 1) -> DataFrame:
@@ -254,11 +259,11 @@ def control_order(df: DataFrame, by: list[str], order: str, x: str, y: str, degr
     m = d.groupBy(*by).agg(
         *[F.sum(pw(k)).alias(f"_m{k}") for k in range(2 * degree + 1)],
         *[F.sum(pw(k) * F.col(v)).alias(f"_{n}{k}") for n, v in (("x", x), ("y", y)) for k in range(degree + 1)])
-    rows = [[F.col(f"_m{i + j}").cast("double") for j in range(degree + 1)] for i in range(degree + 1)]
-    for n in "xy":
-        sol = _solve(rows, [F.col(f"_{n}{k}") for k in range(degree + 1)])
-        m = m.withColumns({f"_c{n}{k}": v for k, v in enumerate(sol)})
-    m = m.select(*by, *[f"_c{n}{k}" for n in "xy" for k in range(degree + 1)])
+    k = degree + 1
+    flat = [F.col(f"_m{i + j}").cast("double") for i in range(k) for j in range(k)]
+    flat += [F.col(f"_{n}{j}").cast("double") for n in "xy" for j in range(k)]
+    m = m.select(*by, _solver(k, 2)(F.array(*flat)).alias("_c"))
+    m = m.select(*by, *[F.col("_c")[q * k + i].alias(f"_c{n}{i}") for q, n in enumerate("xy") for i in range(k)])
     j = d.join(m, by)
     fit = lambda n: sum((F.col(f"_c{n}{k}") * pw(k) for k in range(1, degree + 1)), F.col(f"_c{n}0"))
     return j.withColumns({f"{x}_r": F.col(x) - fit("x"), f"{y}_r": F.col(y) - fit("y")}).select(*df.columns, f"{x}_r", f"{y}_r")
