@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import u01, with_row
+from .neighbours import knn
+from .ordered import keyed_order, row_numbers
 from .stats import spearman
+from .vectors import doubles
 
 
 def representation_gain(df: DataFrame, axis: str, algo: str, y: str, a: str, ad: str) -> DataFrame:
@@ -16,3 +20,88 @@ def representation_gain(df: DataFrame, axis: str, algo: str, y: str, a: str, ad:
     return g.groupBy(axis).agg(
         F.count(F.lit(1)).alias("n_algos"), F.min("_g").alias("min_gain"), F.max("_g").alias("max_gain"),
         F.percentile("_g", F.lit(0.5)).alias("median_gain"), F.count_if(F.col("_g") > 0).alias("wins"))
+
+
+# folds -------------------------------------------------------------------------
+
+def group_folds(df: DataFrame, group: str, k: int, seed) -> DataFrame:
+    """M1: (group, fold): whole groups dealt in a snake over their sizes, largest first.
+
+    Equal sizes are ordered by a keyed draw, which also spreads them over rank slices.
+    """
+    g = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_u", u01(seed, group))
+    g = g.withColumn("_o", -F.col("_n"))
+    r = row_numbers(g, [], ["_o", "_u", group], F.col("_o") + F.col("_u"), "_rn").withColumn("_i", F.col("_rn") - 1)
+    turn, at = F.floor(F.col("_i") / k), F.col("_i") % k
+    return r.select(group, F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
+
+
+def folds(df: DataFrame, how: str, k: int, key: str, label: str | None = None, seed="fold") -> DataFrame:
+    """M2: ``stratified`` deals rows inside each label, ``shuffled`` all rows,
+    ``leave_one_category_out`` makes every label value a fold."""
+    if how == "leave_one_category_out":
+        names = df.agg(F.sort_array(F.collect_set(label)).alias("_l"))  # the categories
+        return with_row(df, names).withColumn("fold", (F.array_position("_l", F.col(label)) - 1).cast("int")).drop("_l")
+    by = [label] if how == "stratified" else []
+    r = keyed_order(df, by, u01(seed, key), key, "_rn")
+    return r.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
+
+
+# neighbours --------------------------------------------------------------------
+
+def knn_regress(train: DataFrame, test: DataFrame, key: str, vec: str, y: str, k: int) -> DataFrame:
+    """Mean target of the k nearest training rows."""
+    near = knn(test, train, key, key, vec, k)
+    ys = train.select(F.col(key).alias(f"{key}_near"), F.col(y).alias("_y"))
+    return near.join(ys, f"{key}_near").groupBy(key).agg(F.avg("_y").alias("prediction"), F.avg("distance").alias("mean_distance"))
+
+
+def applicability(train: DataFrame, test: DataFrame, key: str, vec: str, k: int, z: float) -> DataFrame:
+    """Threshold Z * sd + mean of the training rows' mean neighbour distance (self
+    left out), and the share of test rows inside."""
+    m = lambda d: d.groupBy(key).agg(F.avg("distance").alias("_d"))
+    tr = m(knn(train, train, key, key, vec, k, exclude_same=True)).agg(
+        F.avg("_d").alias("mean_distance"), F.stddev_pop("_d").alias("sd_distance"))
+    tr = tr.withColumn("threshold", z * F.col("sd_distance") + F.col("mean_distance"))
+    te = with_row(m(knn(test, train, key, key, vec, k)), tr)
+    return te.groupBy("mean_distance", "sd_distance", "threshold").agg(
+        F.count(F.lit(1)).alias("n_test"), F.avg((F.col("_d") <= F.col("threshold")).cast("int")).alias("share_inside"))
+
+
+# second moments ------------------------------------------------------------------
+
+def vector_moments(df: DataFrame, by: list[str], vec: str, dim: int) -> DataFrame:
+    """Mean and sample variance of every dimension, one aggregate, no exploding."""
+    g = lambda i: F.get(F.col(vec), F.lit(i)).cast("double")
+    return df.groupBy(*by).agg(F.array(*[F.avg(g(i)) for i in range(dim)]).alias("mean"),
+                               F.array(*[F.var_samp(g(i)) for i in range(dim)]).alias("var"), F.count(F.lit(1)).alias("n"))
+
+
+def coral_diag(src: DataFrame, tgt: DataFrame, vec: str, dim: int, lam: float, out: str = "aligned") -> DataFrame:
+    """Every dimension of the source moved to the target's mean and variance."""
+    ms = vector_moments(src, [], vec, dim).select(F.col("mean").alias("_ms"), F.col("var").alias("_vs"))
+    mt = vector_moments(tgt, [], vec, dim).select(F.col("mean").alias("_mt"), F.col("var").alias("_vt"))
+    d = with_row(with_row(src, ms), mt)
+    par = F.arrays_zip(doubles(vec).alias("x"), F.col("_ms").alias("ms"), F.col("_vs").alias("vs"), F.col("_mt").alias("mt"), F.col("_vt").alias("vt"))
+    a = F.transform(par, lambda p: (p["x"] - p["ms"]) * F.sqrt((p["vt"] + lam) / (p["vs"] + lam)) + p["mt"])
+    return d.withColumn(out, a).drop("_ms", "_vs", "_mt", "_vt")
+
+
+def zscore_align(df: DataFrame, corpus: str, vec: str, dim: int, eps: float = 1e-9, out: str = "aligned") -> DataFrame:
+    """Every corpus standardised by its own mean and SD."""
+    m = vector_moments(df, [corpus], vec, dim).select(corpus, F.col("mean").alias("_m"), F.col("var").alias("_v"))
+    par = F.arrays_zip(doubles(vec).alias("x"), F.col("_m").alias("m"), F.col("_v").alias("v"))
+    return df.join(F.broadcast(m), corpus).withColumn(
+        out, F.transform(par, lambda p: (p["x"] - p["m"]) / (F.sqrt(p["v"]) + eps))).drop("_m", "_v")
+
+
+def binned_effect(df: DataFrame, x: str, y: str, key: str, bins: int) -> DataFrame:
+    """M33 (re-aimed): mean of y in equal-count bins of x; stands in for an additive
+    glass-box shape and is not numerically equal to one."""
+    d = row_numbers(df.filter(F.col(x).isNotNull()), [], [x, key], F.col(x), "_rn")
+    d = with_row(d, df.filter(F.col(x).isNotNull()).agg(F.count(F.lit(1)).alias("_n")))
+    base, rem = F.floor(F.col("_n") / bins), F.col("_n") % bins
+    i, big = F.col("_rn") - 1, (F.col("_n") % bins) * (F.floor(F.col("_n") / bins) + 1)
+    b = F.when(i < big, F.floor(i / (base + 1))).otherwise(rem + F.floor((i - big) / F.greatest(base, F.lit(1))))
+    return d.withColumn("bin", (b + 1).cast("int")).groupBy("bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"))
