@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.core import replicates, u01, with_row
 from ..sources.sinks import cut
-from .joins import ordered_pairs, sham_source
-from .linear import affine, coral, principal_axes, ridge_oof
-from .ordered import keyed_order, row_numbers, union_all
+from .linear import affine, principal_axes, ridge_oof
+from .ordered import fits, keyed_order, row_numbers, union_all
 from .resample import bh, permute, spearman_perm
 from .stats import class_score, spearman
 from .timeline import deviation
-from .transfer import coral_diag
 
 SEED = 42
 
@@ -89,7 +87,7 @@ def transfer_matrix(df: DataFrame, corpus: str, names: list, algos: list[str], k
             m = fit(d.filter(F.col(corpus) == s), algo, **kw)
             parts.append(score(m, d.filter(F.col(corpus) != s), [corpus, key, "y"]).withColumns(
                 {"source": F.lit(str(s)), "algo": F.lit(algo)}))
-    return spearman(union_all(parts).withColumnRenamed(corpus, "target"), ["source", "target", "algo"], "y", "pred")
+    return spearman(union_all(parts).withColumnRenamed(corpus, "target"), ["source", "target", "algo"], "y", "pred", small=fits(d, [corpus]))
 
 
 def stack(oof: DataFrame, key: str, y: str, fold: str, k: int, top: int, algos: list[str]) -> DataFrame:
@@ -115,14 +113,15 @@ def perm_importance(model, df: DataFrame, key: str, vec: str, dim: int, repeats:
     """
     n = dim * repeats
     base = df.select(key, vec, "y")
-    slots = row_numbers(base, [], [key], F.col(key), "_slot")
+    small = fits(base, [])
+    slots = row_numbers(base, [], [key], F.col(key), "_slot", small=small)
     r = replicates(base.select(key, F.col(vec).alias("_other")), n)
-    r = keyed_order(r, ["rep"], u01(seed, "rep", key), key, "_slot", base=base, base_by=[])
+    r = keyed_order(r, ["rep"], u01(seed, "rep", key), key, "_slot", base=base, base_by=[], small=small)
     j = r.select("rep", "_slot", "_other").join(slots, "_slot").withColumn("feature", (F.col("rep") % dim).cast("int"))
     mixed = F.transform(vec, lambda x, i: F.when(i == F.col("feature"), F.get("_other", i)).otherwise(x))
     p = score(model, vectors(j.withColumn("_mv", mixed), "_mv"), ["rep", "feature", "y"])
-    rho = spearman(p, ["feature", "rep"], "y", "pred")
-    full = spearman(score(model, vectors(base, vec), [key, "y"]), [], "y", "pred", "_full").select("_full")
+    rho = spearman(p, ["feature", "rep"], "y", "pred", small=small)
+    full = spearman(score(model, vectors(base, vec), [key, "y"]), [], "y", "pred", "_full", small=small).select("_full")
     return with_row(rho, full).groupBy("feature").agg(
         F.avg(F.col("_full") - F.coalesce("rho", F.lit(0.0))).alias("importance"), F.first("_full").alias("rho_full"))
 
@@ -204,15 +203,16 @@ def mediated_route(df: DataFrame, corpus: str, fold: str, key: str, vec: str, di
     """Rho with the measure of (direct) its own out-of-fold prediction, (mediated)
     the rating's out-of-fold prediction, and (pc) the leading principal axes."""
     d = cut(df, "route")
+    small = fits(d, [])
     direct = ridge_oof(d, corpus, fold, key, vec, dim, measure)
     med = ridge_oof(d, corpus, fold, key, vec, dim, rating).join(d.select(key, measure), key)
-    out = [spearman(direct, [], "pred", measure).select(F.lit("direct").alias("route"), "rho"),
-           spearman(med, [], "pred", measure).select(F.lit("mediated").alias("route"), "rho")]
+    out = [spearman(direct, [], "pred", measure, small=small).select(F.lit("direct").alias("route"), "rho"),
+           spearman(med, [], "pred", measure, small=small).select(F.lit("mediated").alias("route"), "rho")]
     import numpy as np
 
     mu, axes = principal_axes(d, vec, dim, n_pc)
     pc = affine(d, vec, mu, axes, np.zeros(n_pc), "_pc").select(F.posexplode("_pc").alias("_i", "_x"), measure)
-    r = spearman(pc, ["_i"], "_x", measure)
+    r = spearman(pc, ["_i"], "_x", measure, small=small)
     out.append(r.select(F.concat(F.lit("pc"), (F.col("_i") + 1).cast("string")).alias("route"), "rho"))
     return union_all(out)
 
@@ -239,37 +239,3 @@ def compare_versions(versions: dict[str, DataFrame], corpus: str, fold: str, key
             F.aggregate(F.transform("var", lambda v: F.sqrt(v)), F.lit(0.0), lambda a, b: a + b, lambda a: a / dim).alias("mean_sd"))
         out.append(with_row(s, sd).withColumn("version", F.lit(name)))
     return union_all(out)
-
-
-def coral_sweep(df: DataFrame, corpus: str, domain: str, key: str, vec: str, dim: int, y: str, lams: list[float]) -> DataFrame:
-    """Ridge transfer after alignment, over lambda and both scalings, beside no
-    alignment, diagonal alignment and alignment to a third corpus (valid outside the
-    target's domain)."""
-    from .linear import ALPHAS, coefficients, gram, loo_errors, matrices, predict, standardised
-
-    d = cut(df, "sweep")
-    pairs = [r.asDict() for r in sham_source(ordered_pairs(d, corpus, domain)).collect()]  # pairs of corpora
-
-    def rho(src, tgt, tag):
-        q = standardised(matrices(gram(src, [], "aligned", dim, [y]), [])[(0,)], dim)
-        a = loo_errors(src, [], "aligned", y, {("m",): q}, {(0,): [("m",)]}, ALPHAS)[("m",)]
-        p = predict(tgt, [], "aligned", {("m",): coefficients(q, a)}, {(0,): [("m",)]}, [key, y], ["_t"])
-        s = spearman(p, [], y, "pred").select("rho")
-        return s.withColumns({k: F.lit(v) for k, v in tag.items()})
-
-    out = []
-    for p in pairs:
-        at = lambda c: d.filter(F.col(corpus) == c)
-        s, t, third = at(p["source"]), at(p["target"]), at(p["third"])
-        same = lambda x: x.withColumn("aligned", F.col(vec))
-        tag = {"source": p["source"], "target": p["target"], "domain_match": p["domain_match"], "sham_valid": p["sham_valid"]}
-        out.append(rho(same(s), same(t), {**tag, "method": "none", "lam": 0.0, "standardised": False}))
-        out.append(rho(coral_diag(s, t, vec, dim, lams[0]), same(t), {**tag, "method": "coral_diag", "lam": lams[0], "standardised": False}))
-        out.append(rho(coral(s, third, vec, dim, lams[0])[0], same(t), {**tag, "method": "sham", "lam": lams[0], "standardised": False}))
-        for lam in lams:
-            for std in (False, True):
-                a, b = coral(s, t, vec, dim, lam, std)
-                out.append(rho(a, b, {**tag, "method": "coral", "lam": lam, "standardised": std}))
-    return union_all(out)
-
-

@@ -64,7 +64,7 @@ def _(t):
 
 @query("M22_coral_sweep")
 def _(t):
-    return rounded(md.coral_sweep(vecs(t).select("vec_id", "corpus", "domain", "v", "y"), "corpus", "domain", "vec_id", "v", 63, "y", [0.01]), "rho")
+    return rounded(ln.coral_sweep(vecs(t).select("vec_id", "corpus", "domain", "v", "y"), "corpus", "domain", "vec_id", "v", 63, "y", [0.001, 0.01, 0.1]), "rho")
 
 
 @query("M24_perm_importance")

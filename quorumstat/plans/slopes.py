@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import r4
+from ..functions.core import normal, r4
 from ..operators import slopes as sl
 from ..operators import timeline as tl
 from .registry import EV, NORMAL, OL, R, R4, RANK, REPS, U, query
@@ -73,11 +73,14 @@ def _(t):
     return rounded(sl.personalisation_gain(t.ratings, "user_id", "k", "value", 12, 50, "m5"), "mean", "p")
 
 
-CELLS = "(select o_orderpriority as cell, o_custkey % 40 as unit, x, y from ol)"
+# Slopes with a planted spread between units, so that the likelihood has an interior peak.
+CELLS = f"(select o_orderpriority as cell, o_custkey % 40 as unit, x, y + 25.0::double * {NORMAL('plant', 'o_orderpriority', 'o_custkey % 40')} * x as y from ol)"
 
 
 def cells(t):
-    return t.orders_lines.select(F.col("o_orderpriority").alias("cell"), (F.col("o_custkey") % 40).alias("unit"), "x", "y")
+    u = F.col("o_custkey") % 40
+    return t.orders_lines.select(F.col("o_orderpriority").alias("cell"), u.alias("unit"), "x",
+                                 (F.col("y") + 25.0 * normal("plant", "o_orderpriority", u) * F.col("x")).alias("y"))
 
 
 @query("M6_tau_profile", f"""with {OL}, {slope_cte('s', CELLS, 'cell, unit', 'x', 'y')}, {tau_cte('t', 's', 'cell')}
@@ -108,13 +111,13 @@ def _(t):
 
 @query("M8_tau_table", f"""with {OL}, {slope_cte('s', CELLS, 'cell, unit', 'x', 'y')}, {tau_cte('t', 's', 'cell')},
  md as (select cell, quantile_cont(n, 0.5) as n_med, quantile_cont(se, 0.5) as breakeven from s where se > 0 group by 1),
- ob as (select cell, n_med, breakeven, tau, lo, hi, 0.6::double * hi as nl, 0.1::double * hi as mc from t join md using (cell)),
+ ob as (select cell, n_med, breakeven, tau, lo, hi, 0.4::double * hi as nl, 0.1::double * hi as mc from t join md using (cell)),
  c as (select *, sqrt(greatest(tau*tau - nl*nl, 0)) as tc, sqrt(greatest(lo*lo - nl*nl, 0)) as lc, sqrt(greatest(hi*hi - nl*nl, 0)) as hc from ob)
  select cell, {R4('tc')} as tau_c, {R4('lc')} as lo_c, {R4('hc')} as hi_c, case when tc > 1e-9 then {R4('n_med * pow(breakeven / nullif(tc, 0), 2)')} end as n_star,
  case when hc > 1e-9 then {R4('n_med * pow(breakeven / nullif(hc, 0), 2)')} end as n_star_lo, (tau - nl > 2 * mc) and lc > breakeven as usable_now from c""")
 def _(t):
     d = sl.tau_cells(cells(t), ["cell"], "unit", "x", "y", grid=G)
-    d = d.withColumns({"null": 0.6 * F.col("hi"), "mc_se": 0.1 * F.col("hi")}).withColumn("above_null", F.col("tau") - F.col("null") > 2 * F.col("mc_se"))
+    d = d.withColumns({"null": 0.4 * F.col("hi"), "mc_se": 0.1 * F.col("hi")}).withColumn("above_null", F.col("tau") - F.col("null") > 2 * F.col("mc_se"))
     d = sl.tau_table(d).select("cell", "tau_c", "lo_c", "hi_c", "n_star", "n_star_lo", "usable_now")
     return rounded4(d, "tau_c", "lo_c", "hi_c", "n_star", "n_star_lo")
 
