@@ -1,21 +1,24 @@
 """Exact nearest neighbours on vectors.
 
 Rows of the searched side are grouped around pivots; a query row visits a cell only
-if the triangle inequality leaves room for a neighbour there. Distances are worked
-out inside the join and ranked with a row limit that applies before the shuffle, so
-no all-pairs table is written.
+if the triangle inequality leaves room for a neighbour there. Rows of a cell travel in
+blocks of bounded size; numpy ranks one query block against one base block and keeps
+the k best per query, so no all-pairs table is written.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.core import u01, with_row
-from .ordered import chunk_rows
 from .vectors import distance, doubles
 
+BLOCK = 256
+
 
 def _pivots(df: DataFrame, key: str, vec: str, n: int) -> DataFrame:
     """A keyed sample of n vectors as one array row (n is a constant)."""
@@ -25,17 +28,43 @@ def _pivots(df: DataFrame, key: str, vec: str, n: int) -> DataFrame:
     return a.select(F.transform("_p", lambda x: x["v"]).alias("_p"))
 
 
+def _block_search(k: int, skip_same: bool, qtype: str, btype: str):
+    """Top k of every query row in one (query block, base block) pair, in numpy."""
+    schema = f"_q {qtype}, _b {btype}, distance double"
+
+    def search(batches):
+        for pdf in batches:
+            parts = []
+            for q, qv, b, bv in zip(pdf["_qs"], pdf["_qvs"], pdf["_bs"], pdf["_bvs"]):
+                qs, bs = np.asarray(q), np.asarray(b)
+                order = np.argsort(bs, kind="stable")
+                bs, x = bs[order], np.vstack(bv)[order]
+                d = np.empty((len(qs), len(bs)))
+                for i, v in enumerate(np.vstack(qv)):
+                    d[i] = np.sqrt(((x - v) ** 2).sum(axis=1))
+                d = np.round(d, 9)
+                if skip_same:
+                    d[qs[:, None] == bs[None, :]] = np.inf
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(qs)), near.shape[1])
+                parts.append(pd.DataFrame({"_q": qs[rows], "_b": bs[near.ravel()], "distance": d[rows, near.ravel()]}))
+            out = pd.concat(parts) if parts else pd.DataFrame({"_q": [], "_b": [], "distance": []})
+            yield out[np.isfinite(out["distance"].astype(float))]
+
+    return search, schema
+
+
 def knn(queries: DataFrame, base: DataFrame, qkey: str, bkey: str, vec: str, k: int,
         exclude_same: bool = False) -> DataFrame:
     """The k nearest base rows of every query row: (qkey, bkey, distance, rank).
 
     Ties go to the smaller base key. With ``exclude_same`` a row is not its own
     neighbour (both sides then share their keys). Pivots grow with the square root of
-    the base (16 to 512); a crowded cell is salted so that no task holds it whole.
+    the base (16 to 512). A crowded cell is cut into hashed blocks of about ``BLOCK``
+    rows, so no task holds it whole; each pair of blocks yields k rows per query.
     """
     n_base = base.count()
     pivots = min(512, max(16, int(n_base ** 0.5) // 2))
-    salts = -(-n_base // chunk_rows(base))
     q = queries.select(F.col(qkey).alias("_q"), doubles(vec).alias("_qv"))
     b = base.select(F.col(bkey).alias("_b"), doubles(vec).alias("_bv"))
     need = k + 1 if exclude_same else k
@@ -49,7 +78,7 @@ def knn(queries: DataFrame, base: DataFrame, qkey: str, bkey: str, vec: str, k:
     w = W.partitionBy("_cell").orderBy("_r", "_b")
     close = cells.select("_cell", "_b", "_r").withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= need)
     reach = close.groupBy("_cell").agg(F.count(F.lit(1)).alias("_have"), F.max("_r").alias("_kth"))
-    radius = cells.groupBy("_cell").agg(F.max("_r").alias("_rad")).join(reach, "_cell")
+    radius = cells.groupBy("_cell").agg(F.max("_r").alias("_rad"), F.count(F.lit(1)).alias("_size")).join(reach, "_cell")
     table = radius.agg(F.collect_list(F.struct("_cell", "_rad", "_have", "_kth")).alias("_cells"))  # one per pivot
 
     d = with_row(to_pivots(q, "_qv"), table)
@@ -58,15 +87,20 @@ def knn(queries: DataFrame, base: DataFrame, qkey: str, bkey: str, vec: str, k:
         lambda c: F.element_at("_d", c["_cell"]) + c["_kth"]))
     d = d.withColumn("_ub", F.coalesce(bound, F.lit(float("inf"))))
     visit = F.filter("_cells", lambda c: F.element_at("_d", c["_cell"]) - c["_rad"] <= F.col("_ub") + 1e-9)
-    d = d.select("_q", "_qv", "_d", "_ub", F.explode(F.transform(visit, lambda c: c["_cell"])).alias("_cell"))
-    d = d.withColumn("_dp", F.element_at("_d", F.col("_cell"))).drop("_d")
-    d = d.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    b_side = cells.withColumn("_salt", F.pmod(F.xxhash64("_b"), F.lit(salts)).cast("int"))
-
-    j = d.join(b_side, ["_cell", "_salt"]).filter(F.abs(F.col("_dp") - F.col("_r")) <= F.col("_ub") + 1e-9)
-    if exclude_same:
-        j = j.filter(F.col("_q") != F.col("_b"))
-    j = j.select("_q", "_b", F.round(distance(F.col("_qv"), F.col("_bv")), 9).alias("distance"))
+    d = d.select("_q", "_qv", F.explode(F.transform(visit, lambda c: c["_cell"])).alias("_cell"))
+
+    def blocks(rows, key, v, sizes, names):
+        n = F.ceil(F.col("_size") / F.lit(BLOCK))
+        x = rows.join(F.broadcast(sizes), "_cell")  # one row per pivot
+        x = x.withColumn("_blk", F.pmod(F.xxhash64(key), n))
+        return x.groupBy("_cell", "_blk").agg(F.collect_list(F.struct(key, v)).alias("_s")).select(
+            "_cell", F.col(f"_s.{key}").alias(names[0]), F.col(f"_s.{v}").alias(names[1]))
+
+    bb = blocks(cells.select("_cell", "_b", "_bv"), "_b", "_bv", radius.select("_cell", "_size"), ("_bs", "_bvs"))
+    visits = d.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size"))
+    qb = blocks(d, "_q", "_qv", visits, ("_qs", "_qvs"))
+    search, schema = _block_search(k, exclude_same, dict(q.dtypes)["_q"], dict(b.dtypes)["_b"])
+    j = qb.join(bb, "_cell").drop("_cell").mapInPandas(search, schema)
     rk = W.partitionBy("_q").orderBy("distance", "_b")
     out = j.withColumn("rank", F.row_number().over(rk)).filter(F.col("rank") <= k)
     names = (qkey, bkey) if qkey != bkey else (qkey, f"{bkey}_near")

@@ -219,7 +219,8 @@ def quantiles(df: DataFrame, by: list[str], c: str, qs: dict[str, float], small:
     if small is None:
         small = fits(df, by)
     if small:
-        return df.groupBy(*by).agg(*[F.percentile(c, F.lit(float(q))).alias(n) for n, q in qs.items()])
+        every = F.percentile(c, F.array(*[F.lit(float(q)) for q in qs.values()])).alias("_q")  # one pass, one buffer
+        return df.groupBy(*by).agg(every).select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(qs)])
     v = value_counts(df, by, c)
     keys = by
     if not by:
