@@ -26,6 +26,13 @@ def chunk_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(CHUNK_CONF, str(CHUNK_ROWS)))
 
 
+def squash(c) -> Column:
+    """Order-preserving signed log, so that equal-width slices suit heavy tails (log1p is
+    monotone by specification)."""
+    v = col(c).cast("double")
+    return F.signum(v) * F.log1p(F.abs(v))
+
+
 def fits(df: DataFrame, by: list[str]) -> bool:
     """True if every group of ``by`` (the whole table for no keys) fits one slice."""
     rows = chunk_rows(df)
@@ -181,7 +188,7 @@ def value_counts(df: DataFrame, by: list[str], c: str, weight: str | None = None
     """Distinct values per group with their cumulative count: the sorted histogram."""
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     v = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(n.alias("_m"))
-    return scan(v, by, [c], F.asinh(F.col(c).cast("double")), {"_cum": ("sum", "_m")}, small=False)
+    return scan(v, by, [c], squash(c), {"_cum": ("sum", "_m")}, small=False)
 
 
 def avg_ranks(df: DataFrame, by: list[str], cols: dict[str, str], weight: str | None = None,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.core import col, corr, div, norm_p_two_sided, with_row
-from .ordered import avg_ranks, few, fits, quantiles, scan
+from .ordered import avg_ranks, few, fits, quantiles, scan, squash
 
 
 def item_means(df: DataFrame, item: list[str], unit: str, cols: list[str]) -> DataFrame:
@@ -385,10 +385,10 @@ def transfer_loss(df: DataFrame, value: str, within, by: list[str] | None = None
     """1 - median cross / median within over score rows (one row per cell)."""
     by = by or []
     w = col(within)
-    return df.groupBy(*by).agg(
-        F.percentile(F.when(w, F.col(value)), F.lit(0.5)).alias("within"),
-        F.percentile(F.when(~w, F.col(value)), F.lit(0.5)).alias("cross"),
-    ).withColumn("loss", 1 - div("cross", "within"))
+    a = quantiles(df.filter(w), by, value, {"within": 0.5})
+    b = quantiles(df.filter(~w), by, value, {"cross": 0.5})
+    j = a.join(b, by, "full") if by else with_row(a, b)
+    return j.withColumn("loss", 1 - div("cross", "within"))
 
 
 def recovered(df: DataFrame, pair: list[str], k: str, rho: str, zero: str, ceiling: str) -> DataFrame:
@@ -397,15 +397,16 @@ def recovered(df: DataFrame, pair: list[str], k: str, rho: str, zero: str, ceili
     kmax = df.agg(F.max(k).alias("_kmax"))
     keep = with_row(df, kmax).filter(F.col(k) == F.col("_kmax")).select(*pair).distinct()
     bal = f.join(keep, pair, "left_semi")
-    a = f.groupBy(k).agg(F.count(F.lit(1)).alias("n_all"), F.percentile("_f", F.lit(0.5)).alias("median_all"))
-    b = bal.groupBy(k).agg(F.count(F.lit(1)).alias("n_balanced"),
-                           F.percentile("_f", F.lit(0.5)).alias("median_balanced"))
+    small = fits(df, [k])
+    n = lambda d, c: d.groupBy(k).agg(F.count(F.lit(1)).alias(c))
+    a = n(f, "n_all").join(quantiles(f, [k], "_f", {"median_all": 0.5}, small), k, "left")
+    b = n(bal, "n_balanced").join(quantiles(bal, [k], "_f", {"median_balanced": 0.5}, small), k, "left")
     return a.join(b, k, "left")
 
 
 def signal_quality(df: DataFrame, unit: str, x: str) -> DataFrame:
     """Range, SD and the smallest step between sorted distinct values."""
-    d = scan(df.select(unit, x).distinct(), [unit], [x], F.asinh(F.col(x)), {"_p": ("lag", x)})
+    d = scan(df.select(unit, x).distinct(), [unit], [x], squash(x), {"_p": ("lag", x)})
     step = d.groupBy(unit).agg(F.min(F.col(x) - F.col("_p")).alias("min_step"),
                                F.count(F.lit(1)).alias("n_levels"))
     s = df.groupBy(unit).agg((F.max(x) - F.min(x)).alias("range"), F.stddev_pop(x).alias("sd"))
@@ -413,12 +414,16 @@ def signal_quality(df: DataFrame, unit: str, x: str) -> DataFrame:
 
 
 def rollup_scores(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Median and count per subgroup plus the row "All" (score tables only)."""
-    return df.rollup(group).agg(F.percentile(value, F.lit(0.5)).alias("median"),
-                                F.count(F.lit(1)).alias("n"),
-                                F.grouping(group).alias("_g")).select(
-        F.when(F.col("_g") == 1, F.lit("All")).otherwise(F.col(group).cast("string")).alias(group),
-        "median", "n")
+    """Median and count per subgroup plus the row "All".
+
+    Counts come from one rollup; medians from the sorted histogram where groups are huge.
+    """
+    n = df.rollup(group).agg(F.count(F.lit(1)).alias("n"), F.grouping(group).alias("_g")).select(
+        F.when(F.col("_g") == 1, F.lit("All")).otherwise(F.col(group).cast("string")).alias(group), "n")
+    g = df.select(F.col(group).cast("string").alias(group), value)
+    m = quantiles(g, [group], value, {"median": 0.5}).unionByName(
+        quantiles(df, [], value, {"median": 0.5}).withColumn(group, F.lit("All")))
+    return m.join(n, group).select(group, "median", "n")
 
 
 def threshold_sweep(df: DataFrame, axis: str, sd: str, cuts: list[float], caps: list[float]) -> DataFrame:
@@ -451,7 +456,7 @@ def verdicts(df: DataFrame, value: str, rules: list[tuple[str, Column, float]])
 def rank_shift(a: DataFrame, b: DataFrame, key: str, v: str, k: int) -> DataFrame:
     """Rank of every item in two runs, the shift, and who stays in the top k."""
     def ranked(d, out):
-        n = scan(d.withColumn("_m", -F.col(v)), [], ["_m", key], F.asinh(F.col("_m")), {out: ("row", None)})
+        n = scan(d.withColumn("_m", -F.col(v)), [], ["_m", key], squash("_m"), {out: ("row", None)})
         return n.select(key, out)
 
     j = ranked(a, "rank_a").join(ranked(b, "rank_b"), key)

@@ -85,22 +85,23 @@ def gaps(df: DataFrame, by: list[str], ts: str, order: list[str], max_gap: float
     return d.filter(F.col(ts) - F.col("_p") > max_gap).select(*by, F.col("_p").alias("gap_start"), F.col(ts).alias("gap_end"))
 
 
-def local_stats(df: DataFrame, by: list[str], key: str, t: str, x: str, half: float, closed: bool = True) -> DataFrame:
-    """Statistics of x within ``half`` of every row's time.
+def local_stats(df: DataFrame, by: list[str], key: str, t: str, x: str, half: float) -> DataFrame:
+    """Statistics of x within ``half`` (both ends closed) of every row's time.
 
-    Bucketed equi join on (by, time bucket) rather than a range frame: a long series is
-    spread over its buckets.
+    A range frame inside (by, time bucket). Buckets are eight half-widths long and carry a
+    margin from their neighbours, so a long series is spread over its buckets and no pairs
+    of rows are written.
     """
-    a = df.select(*by, key, F.col(t).alias("_t0"))
-    b = df.select(*by, F.col(t).alias("_t1"), F.col(x).alias("_x"))
-    w = F.lit(2.0 * half)
-    lo, hi = F.col("_t0") - half, F.col("_t0") + half
-    a = a.withColumn("_b", F.explode(F.sequence(F.floor(lo / w), F.floor(hi / w))))
-    b = b.withColumn("_b", F.floor(F.col("_t1") / w))
-    inside = (F.col("_t1") >= lo) & ((F.col("_t1") <= hi) if closed else (F.col("_t1") < hi))
-    return a.join(b, [*by, "_b"]).filter(inside).groupBy(*by, key).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"),
-        F.min("_x").alias("min"), F.max("_x").alias("max"))
+    wide = F.lit(8.0 * half)
+    at = lambda s: F.floor((F.col(t) + F.lit(s)) / wide)
+    d = df.select(*by, key, t, x, at(0.0).alias("_home"),
+                  F.explode(F.array_distinct(F.array(at(-half), at(0.0), at(half)))).alias("_b"))
+    part = ", ".join(f"`{c}`" for c in [*by, "_b"])
+    h = f"CAST({half!r} AS DOUBLE)"  # a fractional range frame exists in SQL text only
+    over = f"OVER (PARTITION BY {part} ORDER BY `{t}` RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+    aggs = {"n": "count(1)", "mean": f"avg(`{x}`)", "std": f"stddev_pop(`{x}`)", "min": f"min(`{x}`)", "max": f"max(`{x}`)"}
+    d = d.select(*by, key, "_home", "_b", *[F.expr(f"{e} {over}").alias(n) for n, e in aggs.items()])
+    return d.filter(F.col("_b") == F.col("_home")).drop("_b", "_home")
 
 
 def detrend(df: DataFrame, by: list[str], t: str, x: str, out: str = "detrended") -> DataFrame:
