@@ -70,9 +70,21 @@ def normal(seed, *keys) -> Column:
     return F.round(F.sqrt(-2.0 * F.log(a)) * F.cos(2.0 * math.pi * b), 6)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the shuffle partitions, whatever their keys.
+
+    Used before rows are multiplied: a small input would otherwise be multiplied inside
+    the few tasks that read it. AQE does not merge a partition count that is given.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def replicates(df: DataFrame, n: int, name: str = "rep") -> DataFrame:
-    """Every row once per replicate, as a generator rather than a cross join."""
-    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name))
+    """Every row once per replicate, as a generator rather than a cross join.
+
+    Dealing the rows first moves 1/n of the replicated rows and removes any skew.
+    """
+    return spread(df).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name))
 
 
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:

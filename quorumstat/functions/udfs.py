@@ -9,11 +9,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .core import norm_p_two_sided  # noqa: F401
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def centred_p(obs: pd.Series, null: pd.Series) -> float:
     """D3: two-sided p measured from the null's median (one null per group: replicates)."""
     v = null.dropna().to_numpy(float)
@@ -23,7 +24,7 @@ def centred_p(obs: pd.Series, null: pd.Series) -> float:
     return float((1 + (np.abs(v - c) >= abs(obs.iloc[0] - c) - 1e-9).sum()) / (1 + len(v)))
 
 
-@F.udtf(returnType="k: int, w: double")
+@F.udtf(returnType=T.StructType([T.StructField("k", T.IntegerType()), T.StructField("w", T.DoubleType())]))
 class Grid:
     """Every (k, w) of two axes given as lists."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.core import chi2_95, div, normal, replicates, u01, with_row
+from ..functions.core import chi2_95, div, normal, replicates, spread, u01, with_row
 from ..sources.sinks import cut
 from .ordered import avg_ranks, few, keyed_order, quantiles
 from .resample import permute, perm_p, signflip
@@ -96,7 +96,7 @@ def tau_profile(df: DataFrame, by: list[str], b: str = "b", se: str = "se", reml
     d = df.filter(F.col(b).isNotNull() & (F.col(se) > 0)).select(*by, F.col(b).alias("_b"), (F.col(se) * F.col(se)).alias("_v"))
     c = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_units"), F.greatest(F.var_samp("_b") * 20, F.lit(1e-6)).alias("_hi"))
     c = c.filter(F.col("n_units") >= min_units)
-    j = (d.join(F.broadcast(c), by) if by else with_row(d, c)).select("*", F.explode(F.sequence(F.lit(0), F.lit(grid))).alias("_j"))
+    j = spread(d.join(F.broadcast(c), by) if by else with_row(d, c)).select("*", F.explode(F.sequence(F.lit(0), F.lit(grid))).alias("_j"))
     lo = math.log(1e-10)
     t2 = F.when(F.col("_j") == 0, F.lit(0.0)).otherwise(
         F.exp(F.lit(lo) + (F.col("_j") - 1) / F.lit(float(grid - 1)) * (F.log("_hi") - F.lit(lo))))
