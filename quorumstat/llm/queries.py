@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import license_scan, packing, quality_rules, token_counts, url_filter
+from . import license_scan, packing, pii, quality_rules, token_counts, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.query,
     "op5_packing": packing.query,
+    "op6_pii": pii.query,
     "op7_license_scan": license_scan.query,
     "op8_quality_rules": quality_rules.query,
     "op9_token_counts": token_counts.query,
