@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, packing, pii, quality_rules, token_counts, url_filter
+from . import decontaminate, license_scan, packing, pii, quality_rules, token_counts, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_license_scan": license_scan.query,
     "op8_quality_rules": quality_rules.query,
     "op9_token_counts": token_counts.query,
+    "op10_decontaminate": decontaminate.query,
 }
 ORACLES = {
     "op3_url_filter": url_filter.SQL,
