@@ -12,6 +12,7 @@ slots and follow (length, slot, document, start), so a task that runs again numb
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -24,12 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .memo import Memo
-
-#: Chunks whose ids a worker remembers in each of two generations.
-REMEMBERED = 350_000
-_OTHER = re.compile(r" (?:\s|$)")
-_SPACED = re.compile(r"(?= )")
+#: Characters outside the scripts in which both tokenizer libraries are known to agree.
+_RARE = re.compile("[^\t\n\r -~\u00a0-\u024f\u0400-\u045f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 SCHEMA = "doc_id long, start long, length int, ids array<int>, ids_crc32 long, doc_tokens long"
 
 
@@ -46,11 +43,12 @@ def pieces(n: int, longest: int) -> list[tuple[int, int]]:
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level tokenizer, with a memory of chunks.
+    """Ids of whole texts by the byte-level tokenizer of a ``tokenizers`` file.
 
-    Its pre-tokenizer never joins characters across a space that a visible character
-    follows. A text in which every space is of that kind is therefore the chain of its
-    space-led chunks; any other text is encoded in one go.
+    Where the same vocabulary lies beside it as ranks, texts of common scripts go through
+    ``tiktoken``, which gives the same ids in a quarter of the time; the special strings
+    keep the ids that the file gives them. Texts with any other character, whose class the
+    two libraries might see differently, go through ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -60,17 +58,22 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.chunks = Memo(self._learn, REMEMBERED)
+        self.quick = None
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        if path.endswith(".json") and os.path.exists(ranks):
+            import tiktoken
+            from public_tokenizers import PATTERN
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+            self.quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens=special)
 
     def ids(self, text: str) -> np.ndarray:
         """Little-endian unsigned 32-bit ids."""
-        if _OTHER.search(text):
+        if self.quick is None or _RARE.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _SPACED.split(text)
-        return np.frombuffer(b"".join(self.chunks.get(chunks)), dtype="<u4")
+        return np.array(self.quick.encode(text, allowed_special="all"), dtype="<u4")
 
 
 @lru_cache(maxsize=2)
