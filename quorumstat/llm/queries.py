@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, packing, pii, quality_rules, token_counts, url_filter
+from . import decontaminate, license_scan, packing, pii, quality_rules, substring_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op3_url_filter": url_filter.query,
     "op5_packing": packing.query,
     "op6_pii": pii.query,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.query,
 }
 ORACLES = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op3_url_filter": url_filter.SQL,
     "op7_license_scan": license_scan.sql(),
     "op8_quality_rules": quality_rules.SQL,
