@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumstat.llm import packing, quality_rules, store
+from quorumstat.llm import decontaminate, jaccard_join, packing, pii, quality_rules, store
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("ngram_jaccard_join", jaccard_join.stage),
+    ("benchmark_decontamination", decontaminate.stage),
+    ("pii", pii.stage),
     ("packing", packing.stage),
 ]
 

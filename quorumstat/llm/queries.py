@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, packing, pii, quality_rules, substring_dedup, token_counts, url_filter
+from . import decontaminate, jaccard_join, license_scan, packing, pii, quality_rules, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op3_url_filter": url_filter.query,
+    "op4_jaccard_join": jaccard_join.query,
     "op5_packing": packing.query,
     "op6_pii": pii.query,
     "op7_license_scan": license_scan.query,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op3_url_filter": url_filter.SQL,
+    "op4_jaccard_join": jaccard_join.SQL,
     "op7_license_scan": license_scan.sql(),
     "op8_quality_rules": quality_rules.SQL,
 }
