@@ -9,13 +9,14 @@ text in each, and three passes over the blocks follow:
    document id; those that only one document has are done with.
 2. A block reports the hashes of the windows with a shared minimizer, again with the least
    and greatest id. Joined over the blocks, these confirm the recurring windows.
-3. A block gets the confirmed windows that it holds itself, compiles them into Aho-Corasick
-   automata over its word numbers, in shards of a bounded size, and streams all its documents
-   through every shard to locate each occurrence.
+3. A block gets the confirmed windows that it holds itself. Runs of them in one document are
+   its recurring passages; these are compiled into Aho-Corasick automata over word numbers, in
+   shards of a bounded size, and all the block's documents stream through every shard, which
+   locates each occurrence word by word.
 
 A key that a third of all rows share has at most one row per block in both exchanges, so no
-task gathers it. Work is linear in the text. Windows are known by 96 bits of hash between
-blocks, and word by word inside a block.
+task gathers it. Work is linear in the text. Between blocks, windows are known by 80 bits of
+hash.
 
 Null and empty texts have no words. Documents with a null id lose nothing and take nothing
 from others. Rows with the same id are judged against other ids alone. An empty table gives
@@ -34,9 +35,10 @@ from pyspark.sql.window import Window
 from . import words as W
 
 WINDOW, RUN = 13, 5
-#: Text bytes of a block and patterns of one automaton: a task's memory, whatever the input.
-BLOCK_BYTES, SHARD = 8 << 20, 50_000
-MASK = np.uint64(0xFFFFFFFF)
+#: Text bytes of a block and words of one automaton's passages: a task's memory, whatever the input.
+BLOCK_BYTES, SHARD = 8 << 20, 300_000
+#: A word is spelt with three characters of 128 each: an automaton's node is slow with many children.
+DIGITS, RADIX = 3, 128
 
 
 def minimizers(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -89,17 +91,18 @@ def report_minimizers(t: pa.Table) -> pa.Table:
         ids += [lo, hi]
     k, lo, hi = extremes(np.concatenate(keys), np.concatenate(ids))
     block = t.column("_block")[0].as_py()
-    return pa.table({"m": k.view(np.int64), "_block": pa.array(np.full(len(k), block), pa.int32()), "lo": lo, "hi": hi})
+    return pa.table({"m": k.view(np.int64), "_block": pa.array(np.full(len(k), block), pa.int32()), "lo": lo, "many": lo < hi})
 
 
 def window_keys(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the 13 words from each word on."""
+    """Two independent hashes of the 13 words from each word on, of 64 and of 16 bits."""
     g, _ = w.grams(WINDOW)
     n = len(g)
     x = np.zeros(n, dtype=np.uint64)
+    other = W.mix(w.hash ^ W._STEP[40])
     for i in range(WINDOW):
-        x += W.mix(w.hash[i : i + n] ^ W._STEP[40]) * W._STEP[20 + i]
-    return g, W.mix(x) & MASK
+        x += other[i : i + n] * W._STEP[20 + i]
+    return g, W.mix(x) >> np.uint64(48)
 
 
 def _isin(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,65 +123,53 @@ def report_windows(t: pa.Table, shared: pa.Table) -> pa.Table:
         ids += [lo, hi]
     k, lo, hi = extremes(np.concatenate(keys), np.concatenate(ids))
     block = t.column("_block")[0].as_py() if len(t) else 0
-    return pa.table({"w": np.ascontiguousarray(k[:, 0]).view(np.int64), "x": k[:, 1].astype(np.int64), "_block": pa.array(np.full(len(k), block), pa.int32()), "lo": lo, "hi": hi})
+    return pa.table({"w": np.ascontiguousarray(k[:, 0]).view(np.int64), "x": k[:, 1].astype(np.int32), "_block": pa.array(np.full(len(k), block), pa.int32()), "lo": lo, "many": lo < hi})
 
 
-class Speller:
-    """Each distinct word of a block as one character, or two where there are too many words."""
+def spell(vocabulary: np.ndarray, h: np.ndarray) -> str:
+    """Each word as DIGITS characters; every place of a word has characters of its own, so matches keep to words."""
+    n = np.searchsorted(vocabulary, h)
+    digit = np.stack([n // RADIX ** (DIGITS - 1 - i) % RADIX + RADIX * i for i in range(DIGITS)], axis=1) if len(vocabulary) <= RADIX**DIGITS else None
+    if digit is None:
+        raise ValueError("a block has too many distinct words; choose smaller blocks")
+    return (digit + 1).astype("<u4").tobytes().decode("utf-32-le")
 
-    def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary = vocabulary
-        self.width = 1 if len(vocabulary) < 1_000_000 else 2
 
-    def spell(self, h: np.ndarray) -> str:
-        n = np.searchsorted(self.vocabulary, h).astype("<u4")
-        if self.width == 2:
-            n = np.stack([n >> 16, n & 0xFFFF], axis=1).ravel()
-        n = n + 1
-        n[n >= 0xD800] += 0x800  # no surrogates
-        return n.astype("<u4").tobytes().decode("utf-32-le")
+def passages(w: W.Words, least: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """(first word, windows) of the runs of windows that also start in a document with a smaller id."""
+    hit = least < own
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
 
 
 def locate(t: pa.Table, confirmed: pa.Table) -> pa.Table:
     """Words removed and kept of every document of a block."""
-    key = np.stack([confirmed.column("w").to_numpy().view(np.uint64), confirmed.column("x").to_numpy().view(np.uint64)], axis=1)
-    order = np.lexsort((key[:, 1], key[:, 0]))
-    key, least = key[order], confirmed.column("least").to_numpy()[order]
+    key = confirmed.column("w").to_numpy().view(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key, low = key[order], confirmed.column("least").to_numpy()[order]
     parts = list(_parts(t))
-    pattern = np.full(len(key), -1, dtype=np.int64)  # where a window was seen first, as part and word
-    home = np.zeros(len(key), dtype=np.int32)
-    for p, (_, w) in enumerate(parts if len(key) else ()):
-        _, at = minimizers(w)
-        g, x = window_keys(w)
-        hit, where = _isin(key[:, 0], g[at])
-        for step in range(4):  # rows of one g stand together; four of them are out of reach
-            j = np.minimum(where + step, len(key) - 1)
-            good = hit & (key[j, 0] == g[at]) & (key[j, 1] == x[at])
-            free = good & (pattern[j] < 0)
-            pattern[j[free]] = at[free]
-            home[j[free]] = p
-    speller = Speller(np.unique(np.concatenate([np.unique(w.hash) for _, w in parts]))) if len(key) else None
+    none = np.iinfo(np.int64).max
+    found, leasts = [], []
+    for p, (doc, w) in enumerate(parts):
+        least = np.full(len(w.start), none)
+        if len(key):
+            _, at = minimizers(w)
+            hit, where = _isin(key, window_keys(w)[0][at])
+            least[at[hit]] = low[where[hit]]
+        leasts.append(least)
+        own = doc.fill_null(np.iinfo(np.int64).min).to_numpy()[w.row]
+        found += [(p, a, n) for a, n in passages(w, least, own)]
+    vocabulary = np.unique(np.concatenate([np.unique(w.hash) for _, w in parts])) if found else None
+    spelt = [spell(vocabulary, w.hash) if found else "" for _, w in parts]
     cover = [np.zeros(len(w.start) + 1, dtype=np.int64) for _, w in parts]
-    texts = [speller.spell(w.hash) if speller else "" for _, w in parts]
-    found = np.flatnonzero(pattern >= 0)
-    for lo in range(0, len(found), SHARD):
-        machine = ahocorasick.Automaton()
-        for i in found[lo : lo + SHARD].tolist():
-            a = int(pattern[i]) * speller.width
-            machine.add_word(texts[home[i]][a : a + WINDOW * speller.width], int(least[i]))
-        machine.make_automaton()
-        for (doc, w), spelt, marks in zip(parts, texts, cover, strict=True):
-            ids = doc.to_pylist()
-            first = w.first.tolist()
-            for r, own in enumerate(ids):
-                if own is None or first[r + 1] - first[r] < WINDOW:
-                    continue
-                a, b = first[r], first[r + 1]
-                ends = [e for e, small in machine.iter(spelt[a * speller.width : b * speller.width]) if small < own]
-                if ends:
-                    at = a + (np.array(ends) + 1) // speller.width - WINDOW
-                    np.add.at(marks, at, 1)
-                    np.add.at(marks, at + WINDOW, -1)
+    compiled: dict[str, np.ndarray] = {}
+    held = 0
+    for i, (p, a, n) in enumerate(found):
+        compiled[spelt[p][a * DIGITS : (a + n + WINDOW - 1) * DIGITS]] = leasts[p][a : a + n]
+        held += n + WINDOW - 1
+        if i + 1 == len(found) or held >= SHARD:
+            stream(compiled, parts, spelt, cover)
+            compiled, held = {}, 0
     out = {"_id": [], "n_words": [], "n_removed": [], "kept": []}
     for (doc, w), marks in zip(parts, cover, strict=True):
         gone = np.cumsum(marks)[:-1] > 0
@@ -197,6 +188,24 @@ def locate(t: pa.Table, confirmed: pa.Table) -> pa.Table:
     return pa.table({"_id": pa.array(out["_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept": pa.array(out["kept"], pa.string())})
 
 
+def stream(compiled: dict[str, np.ndarray], parts: list, spelt: list[str], cover: list[np.ndarray]) -> None:
+    """All documents of a block through one automaton; marks where removed words begin and end."""
+    machine = ahocorasick.Automaton()
+    for phrase, least in compiled.items():
+        machine.add_word(phrase, (len(phrase) // DIGITS, least))
+    machine.make_automaton()
+    for (doc, w), text, marks in zip(parts, spelt, cover, strict=True):
+        first = w.first.tolist()
+        for r, own in enumerate(doc.to_pylist()):
+            a, b = first[r], first[r + 1]
+            if own is None or b - a < WINDOW:
+                continue
+            for e, (n, least) in machine.iter(text, a * DIGITS, b * DIGITS):
+                at = (e + 1) // DIGITS - n + np.flatnonzero(least < own)
+                np.add.at(marks, at, 1)
+                np.add.at(marks, at + WINDOW, -1)
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: key, n_words, n_removed, kept (the words that stay, joined by one space)."""
     slim = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
@@ -205,12 +214,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
     block = F.pmod(F.xxhash64("_id", F.when(F.col("_id").isNull(), F.col("_text"))), F.lit(n)).cast("int")
     dealt = slim.withColumn("_block", block)
     # One exchange of the texts serves all three passes: the plans of this side are equal.
-    seen = dealt.groupBy("_block").applyInArrow(report_minimizers, "m long, _block int, lo long, hi long")
+    seen = dealt.groupBy("_block").applyInArrow(report_minimizers, "m long, _block int, lo long, many boolean")
     same = Window.partitionBy("m")
-    shared = seen.withColumn("_shared", F.min("lo").over(same) < F.max("hi").over(same)).filter("_shared").select("_block", "m")
-    windows = dealt.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(lambda a, b: report_windows(a, b), "w long, x long, _block int, lo long, hi long")
+    shared = seen.withColumn("_shared", (F.min("lo").over(same) < F.max("lo").over(same)) | F.max("many").over(same)).filter("_shared").select("_block", "m")
+    windows = dealt.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(lambda a, b: report_windows(a, b), "w long, x int, _block int, lo long, many boolean")
     same = Window.partitionBy("w", "x")
-    confirmed = windows.withColumn("least", F.min("lo").over(same)).filter(F.col("hi") > F.col("least")).select("_block", "w", "x", "least")
+    confirmed = windows.withColumn("least", F.min("lo").over(same)).filter(F.col("many") | (F.col("lo") > F.col("least"))).select("_block", "w", "least")
     done = dealt.groupBy("_block").cogroup(confirmed.groupBy("_block")).applyInArrow(lambda a, b: locate(a, b), "_id long, n_words long, n_removed long, kept string")
     return done.withColumnRenamed("_id", key)
 
