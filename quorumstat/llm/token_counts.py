@@ -58,8 +58,13 @@ def count_words(path: str, frames: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     The tokenizer never joins characters across white space, so the count of a text is the
     sum over its words, and a word that came before need not be encoded again.
     """
-    memo = counter(path)
+    memo, seen = counter(path), set()
     for batch in frames:
+        new = []  # repeated rows meet in one task: their text is encoded once
+        for d in batch.column(0).to_pylist():
+            new.append(d not in seen)
+            seen.add(d)
+        batch = batch.filter(pa.array(new, pa.bool_()))
         counts = [sum(memo.get((t.as_py() or "").encode().split())) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["text_digest", "n_tokens"])
 
@@ -92,7 +97,9 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     found = texts.join(missing.hint("shuffle_hash"), meet, "left_semi").select("text_digest", "_text")
     counted = found.mapInArrow(lambda frames: count_words(tokenizer, frames), "text_digest string, n_tokens long")
     counted.select("text_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
-    return docs.withColumn("_digest", digest).join(stored().withColumnsRenamed({"text_digest": "_digest", "_n": out}), "_digest").drop("_digest")
+    (mine,) = store.fresh(docs.withColumn(out, F.lit(0)), "_digest")
+    keyed, counts = docs.withColumn(mine, digest), stored()
+    return keyed.join(counts, keyed[mine] == counts["text_digest"]).select(*[c for c, name in zip(store.own(keyed, docs), docs.columns, strict=True) if name != out], counts["_n"].alias(out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
