@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import words as W
 from .memo import Memo
 
@@ -87,12 +88,12 @@ def seeds(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """[from, to) with the greatest sum of 1 per match and -3 per substitution; the first of equals."""
+    """[from, to) with the greatest sum of 1 per match and -3 per substitution; the longest of equals."""
     total = np.append(0, np.cumsum(np.where(same, 1, -PENALTY)))
     low = np.minimum.accumulate(total)
     gain = total - low
     to = int(np.argmax(gain))
-    frm = int(np.flatnonzero(total[: to + 1] == low[to])[-1])
+    frm = int(np.flatnonzero(total[: to + 1] == low[to])[0])
     return frm, to
 
 
@@ -182,7 +183,7 @@ def per_pair(found: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that overlap with a benchmark item go."""
     found = overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_found"], "left_anti").select(*docs.columns)
+    return docs.join(found, docs["doc_id"] == found["_found"], "left_anti").select(*store.own(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -336,7 +336,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = found.filter((F.col("component_id") != F.col("doc_id")) & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*store.own(docs))
     return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(left.filter("doc_id is null"))
 
 

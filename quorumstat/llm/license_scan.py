@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import spans
+from . import spans, store
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -158,10 +158,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", own: list[Rul
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("kept"), F.col("label")))), ",").alias("labels"),
         F.max(F.when(F.col("kept"), F.col("score"))).alias("score"))
-    counted = docs.withColumns({"_n_words": F.regexp_count(whole, F.lit(WORD)).cast("long"), "_key_hash": F.xxhash64(text)})
-    joined = counted.join(best, counted[key].eqNullSafe(best["_key"]) & (F.col("_key_hash") == F.col("_hash")), "left")
-    return joined.select(*[counted[c] for c in docs.columns], F.struct(
-        F.col("_n_words").alias("n_words"), F.coalesce(best["n_base"], F.lit(0)).cast("long").alias("n_base"), best["first_word"], best["last_word"],
+    n, h = store.fresh(docs, "_n_words", "_text_hash")
+    counted = docs.withColumns({n: F.regexp_count(whole, F.lit(WORD)).cast("long"), h: F.xxhash64(text)})
+    joined = counted.join(best, counted[key].eqNullSafe(best["_key"]) & (counted[h] == best["_hash"]), "left")
+    return joined.select(*store.own(counted, docs), F.struct(
+        counted[n].alias("n_words"), F.coalesce(best["n_base"], F.lit(0)).cast("long").alias("n_base"), best["first_word"], best["last_word"],
         F.coalesce(best["base_labels"], F.lit("")).alias("base_labels"), F.coalesce(best["labels"], F.lit("")).alias("labels"), F.coalesce(best["score"], F.lit(0.0)).alias("score")).alias(out))
 
 

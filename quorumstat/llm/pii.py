@@ -158,12 +158,13 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", model=None,
         base = base.unionByName(scores(model, loose).filter(F.col("score") >= enough).select("_key", "_hash", "kind", "start", "end"))
     no = F.array_position(F.array(*[F.lit(k) for k in (BASE | LOOSE)]), F.col("kind"))
     per = base.groupBy("_key", "_hash").agg(F.array_sort(F.collect_list(F.struct(no.alias("no"), "start", "end", "kind"))).alias("_spans"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(per, keyed[key].eqNullSafe(per["_key"]) & (F.col("_text_hash") == F.col("_hash")), "left")
+    (h,) = store.fresh(docs, "_text_hash")
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = keyed.join(per, keyed[key].eqNullSafe(per["_key"]) & (keyed[h] == per["_hash"]), "left")
     none = F.array().cast("array<struct<no:bigint,start:bigint,end:bigint,kind:string>>")
     all_spans = F.coalesce(per["_spans"], none)
     shown = lambda a: F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return joined.select(*[keyed[c] for c in docs.columns], F.struct(
+    return joined.select(*store.own(keyed, docs), F.struct(
         shown(all_spans).alias("spans"), shown(F.filter(all_spans, lambda x: x["no"] <= len(KINDS))).alias("base")).alias(out))
 
 
@@ -192,10 +193,11 @@ def redact(docs: DataFrame, text: str = "text", found: str = "pii") -> DataFrame
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data in the texts is replaced; n_chars follows; no document goes."""
     model, limits = fit(docs)
-    new = redact(detect(docs, model=model, limits=limits, out="_pii"), found="_pii")
+    (out,) = store.fresh(docs, "_pii")
+    new = redact(detect(docs, model=model, limits=limits, out=out), found=out)
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return new.select(*docs.columns)
+    return new.select(*map(F.col, store.named(docs)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

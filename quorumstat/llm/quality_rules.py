@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import words as W
 
 _LEAD = np.ones(256, dtype=bool)
@@ -190,7 +191,8 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go; the columns of documents stay."""
-    return cascade(docs, out="_quality").filter("_quality.kept").select(*docs.columns)
+    (out,) = store.fresh(docs, "_quality")
+    return cascade(docs, out=out).filter(F.col(out)["kept"]).select(*map(F.col, store.named(docs)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

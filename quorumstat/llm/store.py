@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -25,3 +25,25 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def named(df: DataFrame) -> list[str]:
+    """The column names of a table, quoted."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def own(df: DataFrame, of: DataFrame | None = None) -> list[Column]:
+    """Columns of ``df``, by default all of them, else those that ``of`` has."""
+    return [df[c] for c in named(df if of is None else of)]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The given names, lengthened until no column of the table has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One odd multiplier for each of the eight 32-bit lanes of a block.
 _SALT = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], dtype=np.uint64)
@@ -25,11 +27,9 @@ _SALT = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-def host_path(url):
+def host_path(url: Column) -> tuple[Column, Column]:
     """(host, path) of a URL column, both empty without ``://``."""
-    at = F.locate("://", url)
-    rest = F.when(at > 0, F.expr("substring(_url_text, locate('://', _url_text) + 3)")).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
+    rest = F.coalesce(F.when(F.locate("://", url) > 0, F.substr(url, F.locate("://", url) + 3)), F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)([^?#]*)", 1), _UPPER, _LOWER)
     return host, F.regexp_extract(rest, r"^([^/?#]*)([^?#]*)", 2)
 
@@ -85,21 +85,22 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str =
         flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in hashes]) if size.sum() else np.zeros(0, np.int64)
         return pd.Series(np.split(may_hold(table, flat.view(np.uint64)), np.cumsum(size)[:-1])) if len(size) else pd.Series([], dtype=object)
 
-    host, path = host_path(F.col("_url_text"))
-    seen = pages.withColumn("_url_text", F.col(url)).withColumns({"_host": host, "_path": path}).drop("_url_text")
+    host, path = host_path(F.col(url))
+    h, p = store.fresh(pages, "_own_host", "_own_path")
+    seen = pages.withColumns({h: host, p: path})
     last = F.reverse(F.slice(F.reverse(F.split("_host", r"\.")), 1, max(labels, 1)))
     suffixes = F.transform(F.sequence(F.lit(1), F.size(last)), lambda i: F.array_join(F.slice(last, i, F.size(last)), "."))
     prefixes = F.filter(F.array(*[F.when(F.length("_path") >= n, F.substring("_path", 1, n)) for n in lengths]), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
     probes = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    targets = seen.select("_host", "_path").filter(F.col("_host") != "").distinct().withColumn("_probes", probes)
+    targets = seen.select(F.col(h).alias("_host"), F.col(p).alias("_path")).filter(F.col("_host") != "").distinct().withColumn("_probes", probes)
     marked = targets.withColumn("_may", possible(F.transform("_probes", lambda x: F.xxhash64(x))))
     hits = marked.select("_host", "_path", F.explode(F.filter(F.arrays_zip("_probes", "_may"), lambda x: x["_may"])["_probes"]).alias("rule"))
     best = hits.join(listed, "rule").groupBy("_host", "_path").agg(
         F.max(F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), "rule", "verdict")).alias("_best"))
-    found = seen.join(best, ["_host", "_path"], "left")
-    return found.select(*[F.col(f"`{c}`") for c in pages.columns], F.struct(
-        F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.rule").alias("rule"),
-        F.coalesce("_best.verdict", F.lit(default)).alias("verdict")).alias(out))
+    found = seen.join(best, (seen[h] == best["_host"]) & (seen[p] == best["_path"]), "left")
+    return found.select(*store.own(seen, pages), F.struct(
+        seen[h].alias("host"), seen[p].alias("path"), best["_best"]["rule"].alias("rule"),
+        F.coalesce(best["_best"]["verdict"], F.lit(default)).alias("verdict")).alias(out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
