@@ -74,12 +74,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows dealt evenly over the shuffle partitions, whatever their keys.
 
     Used before rows are multiplied: a small input would otherwise be multiplied inside
-    the few tasks that read it. AQE does not merge a partition count that is given; up to
-    the default of 200 the count is therefore kept within four waves of the cores.
+    the few tasks that read it. The session's number of shuffle partitions holds, whatever it is.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n if n > 200 else min(n, 4 * spark.sparkContext.defaultParallelism))
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def replicates(df: DataFrame, n: int, name: str = "rep") -> DataFrame:

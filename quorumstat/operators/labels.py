@@ -104,7 +104,7 @@ def constituent_set(c, prefix: str = "mix_") -> Column:
     tok = F.split(F.regexp_replace(col(c), f"^{prefix}", ""), "_")
     num = r"^\d+-\d+$"
     nums = F.transform(F.filter(tok, lambda x: x.rlike(num)), lambda x: F.split_part(x, F.lit("-"), F.lit(1)))
-    cats = F.filter(F.slice(tok, 2, 1000), lambda x: ~x.rlike(num))
+    cats = F.filter(F.slice(tok, 2, F.greatest(F.size(tok) - 1, F.lit(0))), lambda x: ~x.rlike(num))
     cats = F.when(tok[0] == "within", F.array_repeat(cats[0], F.size(nums))).otherwise(cats)
     k = F.least(F.size(nums), F.size(cats))
     both = F.transform(F.sequence(F.lit(1), k), lambda i: F.concat(F.element_at(cats, i), F.lit("#"), F.element_at(nums, i)))

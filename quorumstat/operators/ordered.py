@@ -46,8 +46,24 @@ def few(df: DataFrame, *cols: str) -> bool:
     return fits(df.select(*cols).distinct(), [])
 
 
+def meet(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi join on ``keys`` in which a NULL key meets a NULL key; the keys of ``b`` go."""
+    names = {k: f"_b_{i}" for i, k in enumerate(keys)}
+    on = reduce(lambda x, y: x & y, [a[k].eqNullSafe(F.col(names[k])) for k in keys])
+    return a.join(b.withColumnsRenamed(names), on, how).drop(*names.values())
+
+
+#: Rows of a big group that are drawn for each of its slices to place the borders.
+DRAWN = 24
+
+
 def _big_groups(df, by, pos, base, base_by):
-    """Groups above the slice size: at most total rows / slice size of them."""
+    """Groups above the slice size: at most total rows / slice size of them.
+
+    Borders are quantiles of a keyed sample of the group's positions, so one position far
+    off moves no border. The sample depends on the rows alone; a task that runs again, or
+    another use of the plan, gets the same borders.
+    """
     rows = chunk_rows(df)
     if base is None:
         g = df.groupBy(*by).agg(
@@ -65,7 +81,16 @@ def _big_groups(df, by, pos, base, base_by):
         F.col("_lo"),
         ((F.col("_hi") - F.col("_lo")) / k).alias("_width"),
     )
-    return big, keys
+    if base is not None:
+        return big, keys
+    flat = [c for c in df.columns if not df.schema[c].dataType.simpleString().startswith(("map", "variant"))]
+    draw = F.pmod(F.xxhash64(*flat), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sized = g.filter(F.col("_n") > rows).select(*keys, (F.lit(float(DRAWN * 2)) / rows).alias("_share"))
+    some = (meet(df, F.broadcast(sized), keys, "inner") if keys else df.join(F.broadcast(sized))).filter(draw < F.col("_share"))
+    cuts = some.groupBy(*keys).agg(F.array_sort(F.collect_list("_pos")).alias("_all")).select(
+        *keys, F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size("_all") / DRAWN), F.lit(1)).cast("int")), lambda i: F.get(F.col("_all"), i * DRAWN - 1)).alias("_cuts"))
+    big = big.drop("_lo", "_width")
+    return (meet(big, cuts, keys) if keys else big.join(cuts, F.lit(True), "left")), keys
 
 
 def slice_groups(df: DataFrame, by: list[str], pos, base: DataFrame | None = None,
@@ -77,7 +102,24 @@ def slice_groups(df: DataFrame, by: list[str], pos, base: DataFrame | None = Non
     """
     d = df.withColumn("_pos", col(pos).cast("double"))
     big, keys = _big_groups(d, by, pos, base, base_by)
-    c = F.when(
+    if base is None:
+        at = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda b: F.coalesce(b < F.col("_pos"), F.lit(False))))
+        c = F.when(F.col("_k").isNotNull(), F.when(F.isnan("_pos"), F.size(F.coalesce("_cuts", F.array().cast("array<double>"))) + 1).otherwise(at)).cast("int")
+        drop = ["_k", "_cuts", "_pos"]
+    else:
+        c, drop = _even(), ["_k", "_lo", "_width", "_pos"]
+    if keys:
+        both, only = meet(d, F.broadcast(big), keys), meet(d, F.broadcast(big), keys, "inner")
+    else:
+        one, dd = big.withColumn("_one", F.lit(1)), d.withColumn("_one", F.lit(1))
+        both = dd.join(F.broadcast(one), "_one", "left").drop("_one")
+        only = dd.join(F.broadcast(one), "_one", "inner").drop("_one")
+    return (both.withColumn("_c", c).drop(*drop), only.withColumn("_c", c).drop(*drop))
+
+
+def _even() -> Column:
+    """Slice number by equal widths, for positions that are uniform draws."""
+    return F.when(
         F.col("_k").isNotNull(),
         F.coalesce(
             F.least(F.floor((F.col("_pos") - F.col("_lo")) / F.nullif(F.col("_width"), F.lit(0.0))),
@@ -85,16 +127,6 @@ def slice_groups(df: DataFrame, by: list[str], pos, base: DataFrame | None = Non
             F.lit(0.0),
         ),
     ).cast("int")
-    drop = ["_k", "_lo", "_width", "_pos"]
-    if keys:
-        both = d.join(F.broadcast(big), keys, "left")
-        only = d.join(F.broadcast(big), keys, "inner")
-    else:
-        one = big.withColumn("_one", F.lit(1))
-        dd = d.withColumn("_one", F.lit(1))
-        both = dd.join(F.broadcast(one), "_one", "left").drop("_one")
-        only = dd.join(F.broadcast(one), "_one", "inner").drop("_one")
-    return (both.withColumn("_c", c).drop(*drop), only.withColumn("_c", c).drop(*drop))
 
 
 def _combine(kind, local, carry, first):
@@ -165,7 +197,7 @@ def scan(df: DataFrame, by: list[str], order: list[str], pos, outs: dict, *, rev
         return df.select(*[c for c in df.columns if c not in outs], *local)
     left = every.select("*", *local)
     links = sliced.groupBy(*keys).agg(*summary).select(*keys, *carry)
-    out = left.join(links, keys, "left")
+    out = meet(left, links, keys)
     first = F.col("_first") if need_first else None
     final = [
         _combine(kind, F.col(f"_l_{n}"), F.col(f"_k_{n}"), first).alias(n)
@@ -213,7 +245,7 @@ def avg_ranks(df: DataFrame, by: list[str], cols: dict[str, str], weight: str |
     for name, c in cols.items():
         v = value_counts(df, by, c, weight)
         r = v.select(*by, c, (F.col("_cum") - (F.col("_m") - 1) / F.lit(2.0)).alias(name))
-        out = out.join(r, [*by, c], "left")
+        out = meet(out, r, [*by, c])
     return out.select(*df.columns, *cols)
 
 
@@ -233,7 +265,7 @@ def quantiles(df: DataFrame, by: list[str], c: str, qs: dict[str, float], small:
     if not by:
         v, keys = v.withColumn("_g", F.lit(0)), ["_g"]
     tot = v.groupBy(*keys).agg(F.sum("_m").alias("_n"))
-    j = v.join(tot, keys)
+    j = meet(v, tot, keys)
     aggs, finals = [], []
     for name, q in qs.items():
         h = F.lit(float(q)) * (F.col("_n") - 1)

@@ -127,7 +127,7 @@ LANES = ", '|', ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::bigint)::hugei
 
 
 @query("F15_content_hash", f"""select o_orderpriority, count(*) as n_rows, sha256(concat(count(*), '|', {LANES})) as content_hash from (
- select o_orderpriority, md5(concat_ws('|', o_orderkey::varchar, o_custkey::varchar, o_orderstatus)) as h from orders) group by 1""")
+ select o_orderpriority, md5(concat(length(o_orderkey::varchar), ':', o_orderkey, length(o_custkey::varchar), ':', o_custkey, length(o_orderstatus), ':', o_orderstatus)) as h from orders) group by 1""")
 def _(t):
     return content_hash(t.orders, ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderpriority"])
 

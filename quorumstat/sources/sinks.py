@@ -68,7 +68,9 @@ def content_hash(df: DataFrame, cols: list[str] | None = None, by: list[str] | N
     Sums combine map-side, so no task ever holds the sorted rows.
     """
     by = by or []
-    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in (cols or df.columns)]))
+    text = [F.col(c).cast("string") for c in (cols or df.columns)]
+    # Each field with its length, so neither a separator inside a text nor a NULL can be mistaken.
+    row = F.md5(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]))
     lane = [F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(4)]
     s = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"),
                             *[F.sum(v).cast("decimal(38,0)").alias(f"_{i}") for i, v in enumerate(lane)])
@@ -76,6 +78,11 @@ def content_hash(df: DataFrame, cols: list[str] | None = None, by: list[str] | N
     return s.select(*by, "n_rows", F.sha2(F.concat_ws("|", *parts), 256).alias(out))
 
 
+def fingerprint(df: DataFrame, cols: list[str] | None = None) -> str:
+    """Content hash of all rows as text, for the cache; one row reaches the driver."""
+    return content_hash(df, cols).first()["content_hash"]
+
+
 def run_record(df: DataFrame, name: str, seed: int, params: dict, metrics: DataFrame) -> DataFrame:
     """One row with parameters, seed, metrics and the hash of the input rows."""
     kv = F.map_from_arrays(F.array(*[F.lit(c) for c in metrics.columns]),

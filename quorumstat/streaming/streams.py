@@ -68,8 +68,9 @@ def trial_windows(events: DataFrame, samples: DataFrame, unit: str, onset: str,
 def running_z(stream: DataFrame, unit: str, key: str, ts: str, x: str) -> DataFrame:
     """T4: z of each value against the unit's earlier and current values.
 
-    State per unit is three numbers (n, mean, M2), updated chunk by chunk in arrival
-    order (time order inside a chunk).
+    State per unit is three numbers (n, mean, M2). All rows that a unit has in a batch are
+    sorted by time before they are folded, however many chunks they come in; batches follow
+    each other as they arrive. A NULL or NaN value has no z and leaves the state as it is.
     """
     d = stream.select(unit, key, ts, x)
     types = {f.name: f.dataType for f in d.schema.fields}
@@ -78,19 +79,22 @@ def running_z(stream: DataFrame, unit: str, key: str, ts: str, x: str) -> DataFr
 
     def update(key_: tuple, chunks: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
         n, mean, m2 = st.get if st.exists else (0, 0.0, 0.0)
-        for pdf in chunks:
-            pdf = pdf.sort_values([ts, key])
-            v = pdf[x].to_numpy(float)
-            k = n + pd.RangeIndex(1, len(v) + 1).to_numpy()
-            total = mean * n + v.cumsum()
-            means = total / k
-            prev = (total - v) / (k - 1).clip(min=1)
-            m2s = m2 + ((v - prev) * (v - means)).cumsum()
-            sd = np.sqrt(m2s / (k - 1).clip(min=1))
-            ok = (k > 1) & (sd > 0)
-            z = np.where(ok, (v - means) / np.where(ok, sd, 1.0), np.nan)
-            n, mean, m2 = int(k[-1]), float(means[-1]), float(m2s[-1])
-            yield pd.DataFrame({unit: pdf[unit].to_numpy(), key: pdf[key].to_numpy(), ts: pdf[ts].to_numpy(), x: v, "n": k, "z": pd.Series(z).where(ok, None).to_numpy()})
-        st.update((n, mean, m2))
+        batch = pd.concat(list(chunks)).sort_values([ts, key])
+        given = batch[x].to_numpy(float)
+        known = ~np.isnan(given)
+        v = given[known]
+        k = n + np.arange(1, len(v) + 1)
+        total = mean * n + v.cumsum()
+        means = total / k
+        prev = (total - v) / (k - 1).clip(min=1)
+        m2s = m2 + ((v - prev) * (v - means)).cumsum()
+        sd = np.sqrt(m2s / (k - 1).clip(min=1))
+        ok = (k > 1) & (sd > 0)
+        z = np.full(len(given), np.nan)
+        z[known] = np.where(ok, (v - means) / np.where(ok, sd, 1.0), np.nan)
+        yield pd.DataFrame({unit: batch[unit].to_numpy(), key: batch[key].to_numpy(), ts: batch[ts].to_numpy(), x: given, "n": n + known.cumsum(),
+                            "z": pd.Series(z, dtype=object).where(~np.isnan(z), None).to_numpy()})
+        if len(v):
+            st.update((int(k[-1]), float(means[-1]), float(m2s[-1])))
 
     return d.groupBy(unit).applyInPandasWithState(update, out, state, "append", GroupStateTimeout.NoTimeout)

@@ -130,3 +130,70 @@ def test_stream_equals_batch_over_two_triggers(spark, tmp_path):
     a = {x["event_id"]: x["z"] for x in got.select("event_id", F.round("z", 6).alias("z")).collect()}
     b = {x["event_id"]: x["z"] for x in want.collect()}
     assert a == b
+
+
+def test_running_z_of_shuffled_chunks_with_nulls(spark, tmp_path):
+    from pyspark.sql.window import Window as W
+
+    from quorumstat.functions.core import normal, u01
+    from quorumstat.streaming import streams as sx
+
+    d = spark.range(3000).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.lit("a").alias("event_type"),
+                                 F.when(F.col("id") % 11 != 0, F.round(normal("sz", "id"), 3)).alias("value"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    d.orderBy(u01("mixed", "event_id")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        r = spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in")
+        got = sx.drain(sx.running_z(r, "user_id", "event_id", "ts", "value"), "mixed").select("event_id", "n", F.round("z", 6).alias("z")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    w = W.partitionBy("user_id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    z = (F.col("value") - F.avg("value").over(w)) / F.nullif(F.stddev_samp("value").over(w), F.lit(0.0))
+    want = d.select("event_id", F.count("value").over(w).alias("n"), F.round(z, 6).alias("z")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_content_hash_tells_fields_apart(spark):
+    from quorumstat.sources import sinks
+
+    rows = [("a|b", "c"), ("a", "b|c"), ("NULL", None), (None, "NULL"), ("-", None), ("1:a", ""), ("", "1:a")]
+    one = [sinks.fingerprint(spark.createDataFrame([r], "x string, y string")) for r in rows]
+    assert len(set(one)) == len(rows)
+
+
+def test_many_categories_are_kept(spark):
+    from quorumstat.operators.labels import constituent_set
+
+    n = 1100
+    text = "mix_across_" + "_".join(f"c{i}" for i in range(n)) + "_" + "_".join(f"{i}-1" for i in range(n))
+    got = spark.createDataFrame([(text,)], "x string").select(F.size(constituent_set("x")).alias("n")).first()
+    assert got.n == n
+
+
+def test_alignment_map_equals_the_formula():
+    import numpy as np
+
+    from quorumstat.operators.linear import coral_map
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(50, 4)) @ rng.normal(size=(4, 4)) + 3, rng.normal(size=(60, 4)) - 1
+    cov = lambda x: (x.mean(0), np.cov(x.T), len(x))
+    for std in (False, True):
+        for diag in (False, True):
+            (w, o), (wt, ot) = coral_map(*cov(a), *cov(b)[:2], 4, 0.0, std, diag)
+            moved, own = a @ w + o, b @ wt + ot
+            assert np.allclose(moved.mean(0), own.mean(0))
+            assert np.allclose(np.diag(np.cov(moved.T)), np.diag(np.cov(own.T))) and (diag or np.allclose(np.cov(moved.T), np.cov(own.T)))
+
+
+def test_phases_of_a_long_series(spark):
+    """A series above 65,536 samples keeps its whole spectrum."""
+    import numpy as np
+
+    from quorumstat.operators import resample
+
+    n = 70_000
+    d = spark.range(n).select(F.lit(1).alias("unit"), F.col("id").alias("idx"), (F.sin(F.col("id") / 300.0) + F.col("id") % 7).alias("x"), F.cos(F.col("id") / 90.0).alias("y"))
+    r = resample.phase_null(d, "unit", "idx", "x", "y", 2, "long").first()
+    assert r.p is not None and np.isfinite(r.null_mean) and abs(r.null_mean) < 0.2

@@ -79,3 +79,22 @@ def test_knn_is_exact_with_a_crowded_cell(spark):
     np.fill_diagonal(dist, np.inf)
     want = np.argsort(dist, axis=1, kind="stable")[:, :3]
     assert got == {(i, k + 1): int(want[i, k]) for i in range(len(x)) for k in range(3)}
+
+
+@pytest.fixture(scope="module")
+def hard(skewed):
+    """A NULL group, one time stamp far off, a NaN and NULL values."""
+    d = skewed.withColumn("unit", F.when(F.col("unit") != 3, F.col("unit")))
+    d = d.withColumn("ts", F.when(F.col("key") == 30, F.lit(1e15)).otherwise(F.col("ts")))
+    return d.withColumn("value", F.when(F.col("key") % 13 != 0, F.col("value"))).withColumn("unit", F.when(F.col("key") % 5 != 1, F.col("unit"))).cache()
+
+
+@pytest.mark.parametrize("name", ["row", "lag", "lead", "last", "next", "sum_min_max", "ranks", "quantiles", "spearman"])
+def test_sliced_equals_plain_on_hard_rows(spark, hard, name):
+    a, b = both(spark, lambda: CASES[name](hard))
+    assert a == b
+
+
+def test_one_far_position_leaves_no_large_slice(sliced, hard):
+    every, _ = ordered.slice_groups(hard, ["unit"], "ts")
+    assert every.filter("unit = 0").groupBy("_c").count().agg(F.max("count")).first()[0] < 200
