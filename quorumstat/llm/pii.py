@@ -204,5 +204,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model, limits = fit(docs)
     d = detect(docs, model=model, limits=limits)
-    n = [F.size(F.filter("pii.base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    kinds = F.transform("pii.base", lambda x: x["kind"])
+    n = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in KINDS]
     return d.select("doc_id", *n, F.sha2(written("pii.base"), 256).alias("base_sha256"), written("pii.spans").alias("spans"))

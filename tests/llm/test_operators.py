@@ -344,3 +344,13 @@ def test_digest_of_kept_words(spark):
     got = {r.doc_id: r.kept_sha256 for r in substring_dedup.query(spark, "/root/testdata/sf0.001").collect()}
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert got == {i: hashlib.sha256(k.encode()).hexdigest() for i, _, _, k in brute_removed(rows)}
+
+
+def test_counts_of_personal_data(spark):
+    got = pii.query(spark, "/root/testdata/sf0.001").collect()
+    rows = dict(tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())
+    assert len(got) == len(rows)
+    for r in got:
+        base = list(brute_base(rows[r.doc_id] or ""))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b.startswith(k) for b in base) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
