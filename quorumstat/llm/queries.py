@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, license_scan, packing, pii, quality_rules, substring_dedup, token_counts, url_filter
+from . import decontaminate, jaccard_join, license_scan, merkle_audit, packing, pii, quality_rules, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_merkle_audit": merkle_audit.query,
     "op3_url_filter": url_filter.query,
     "op4_jaccard_join": jaccard_join.query,
     "op5_packing": packing.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op2_merkle_audit": merkle_audit.SQL,
     "op3_url_filter": url_filter.SQL,
     "op4_jaccard_join": jaccard_join.SQL,
     "op7_license_scan": license_scan.sql(),

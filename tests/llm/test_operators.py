@@ -337,7 +337,7 @@ def test_queries_are_registered():
     from __spark_entry__ import oracle_sql, queries
 
     ops = {int(re.match(r"op(\d+)_", q)[1]) for q in queries() if q.startswith("op")}
-    assert "pipeline" in queries() and ops >= {1, 3, 4, 5, 6, 7, 8, 9, 10} and set(oracle_sql()) <= set(queries())
+    assert "pipeline" in queries() and ops == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
 
 
 def test_digest_of_kept_words(spark):
@@ -354,3 +354,23 @@ def test_counts_of_personal_data(spark):
         base = list(brute_base(rows[r.doc_id] or ""))
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b.startswith(k) for b in base) for k in pii.KINDS]
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+
+
+def test_merkle_audit(spark):
+    from collections import Counter
+
+    from quorumstat.llm import merkle_audit
+
+    a = [(1, i * 40, f"r{i}") for i in range(300)] + [(2, 0, "x"), (2, 0, "x"), (None, 5, "n"), (3, None, None), (4, 8, ""), (5, 1, "same")]
+    b = [r for r in a if r[:2] not in {(1, 800), (1, 11960)}]
+    b = [(k, o, t + "!" if (k, o) == (1, 4000) else t) for k, o, t in b] + [(6, 9, "extra")]
+    b.remove((2, 0, "x"))
+    b[b.index((4, 8, ""))] = (4, 8, None)
+    frame = lambda rows: spark.createDataFrame(rows, "archive long, offset long, bytes string")
+    want = {(1, 800, "missing"), (1, 11960, "missing"), (1, 4000, "changed"), (6, 9, "extra"), (2, 0, "missing"), (4, 8, "changed")}
+    for span, fan in ((100, 3), (1 << 20, 16)):
+        got = merkle_audit.audit(frame(a), frame(b), span, fan).select("archive", "offset", "kind").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert merkle_audit.audit(frame(a), frame(list(reversed(a)))).count() == 0
+    assert merkle_audit.audit(frame(a).limit(0), frame(a).limit(0)).count() == 0
+    assert sum(Counter(a).values()) == 306
