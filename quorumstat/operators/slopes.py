@@ -91,7 +91,9 @@ def tau_profile(df: DataFrame, by: list[str], b: str = "b", se: str = "se", reml
     """M6: between-unit SD of slopes by profile likelihood with a 95 % interval.
 
     Every unit meets every grid variance in a generator; four sums per grid point combine
-    map-side. The interval is read off the grid by linear interpolation.
+    map-side. The grid is even in log variance; the peak is the vertex of the parabola
+    through the best point and its neighbours, unless these are level. The interval is read
+    off the grid by linear interpolation.
     """
     d = df.filter(F.col(b).isNotNull() & (F.col(se) > 0)).select(*by, F.col(b).alias("_b"), (F.col(se) * F.col(se)).alias("_v"))
     c = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_units"), F.greatest(F.var_samp("_b") * 20, F.lit(1e-6)).alias("_hi"))
@@ -116,11 +118,14 @@ def tau_profile(df: DataFrame, by: list[str], b: str = "b", se: str = "se", reml
     wj = W.partitionBy(*keys).orderBy("_j")  # grid + 1 rows per cell
     top = s.groupBy(*keys).agg(F.max("_ll").alias("_mx"), F.max_by("_j", F.struct("_ll", -F.col("_j"))).alias("_jh"))
     s = s.join(top, keys).withColumn("_g", 2 * (F.col("_mx") - F.col("_ll")) - F.lit(chi2_95))
-    s = s.withColumns({"_pg": F.lag("_g").over(wj), "_pt": F.lag("_t").over(wj)})
+    s = s.withColumns({"_pg": F.lag("_g").over(wj), "_pt": F.lag("_t").over(wj), "_bend": F.lag("_ll").over(wj) - 2 * F.col("_ll") + F.lead("_ll").over(wj),
+                       "_tilt": F.lag("_ll").over(wj) - F.lead("_ll").over(wj), "_nt": F.lead("_t").over(wj)})
+    steps = F.when((F.col("_j") >= 2) & (F.col("_bend") < -1e-4), 0.5 * div("_tilt", "_bend") * F.log(div("_nt", "_t")))
+    s = s.withColumn("_peak", F.col("_t") * F.exp(F.coalesce(steps, F.lit(0.0))))
     cross = F.col("_pt") + (F.col("_t") - F.col("_pt")) * div("_pg", F.col("_pg") - F.col("_g"))
     at = lambda x: F.max(F.when(F.col("_j") == F.col("_jh"), F.col(x)))
     r = s.groupBy(*keys).agg(
-        F.max("n_units").alias("n_units"), at("_t").alias("_th"), (at("_swb") / at("_sw")).alias("beta"),
+        F.max("n_units").alias("n_units"), at("_peak").alias("_th"), (at("_swb") / at("_sw")).alias("beta"),
         F.max(F.when((F.col("_j") <= F.col("_jh")) & (F.col("_pg") > 0) & (F.col("_g") <= 0), cross)).alias("_lo"),
         F.min(F.when((F.col("_j") > F.col("_jh")) & (F.col("_pg") <= 0) & (F.col("_g") > 0), cross)).alias("_hi"),
         F.max("_t").alias("_mt"))

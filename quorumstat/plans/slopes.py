@@ -11,7 +11,7 @@ from .registry import EV, NORMAL, OL, R, R4, RANK, REPS, U, query
 from .resampling import EPS, PR, pairs, permuted_cte, signflip_sql
 from .stats import rounded, sp_cte
 
-G = 60  # grid points of the registered queries
+G = 200  # grid points of the registered queries
 
 
 def rounded4(df, *cols):
@@ -36,8 +36,8 @@ def tau_cte(name, src, by, b="b", se="se", grid=G, min_units=5):
  {p}s as (select {k}, j, any_value(t) as t, any_value(n_units) as n_units, sum(1 / (v + t)) as sw, sum(b / (v + t)) as swb, sum(b * b / (v + t)) as swbb, sum(ln(1 / (v + t))) as slw from {p}d join {p}g using ({k}) group by {k}, j),
  {p}l as (select *, round(0.5 * slw - 0.5 * (swbb - swb * swb / sw) - 0.5 * ln(sw), 9) as ll from {p}s),
  {p}t as (select {k}, max(ll) as mx, arg_max(j, (ll, -j)) as jh from {p}l group by {k}),
- {p}x as (select *, lag(gg) over (partition by {k} order by j) as pg, lag(t) over (partition by {k} order by j) as pt from (select *, 2 * (mx - ll) - 3.841458820694124 as gg from {p}l join {p}t using ({k}))),
- {p} as (select {k}, any_value(n_units) as n_units, sqrt(max(t) filter (j = jh)) as tau, max(swb / sw) filter (j = jh) as beta,
+ {p}x as (select *, lag(gg) over o as pg, lag(t) over o as pt, lag(ll) over o - 2 * ll + lead(ll) over o as bend, lag(ll) over o - lead(ll) over o as tilt, lead(t) over o as nt from (select *, 2 * (mx - ll) - 3.841458820694124 as gg from {p}l join {p}t using ({k})) window o as (partition by {k} order by j)),
+ {p} as (select {k}, any_value(n_units) as n_units, sqrt(max(t * exp(coalesce(case when j >= 2 and bend < -1e-4 then 0.5::double * tilt / bend * ln(nt / nullif(t, 0)) end, 0))) filter (j = jh)) as tau, max(swb / sw) filter (j = jh) as beta,
  sqrt(coalesce(max(pt + (t - pt) * pg / nullif(pg - gg, 0)) filter (j <= jh and pg > 0 and gg <= 0), 0)) as lo,
  sqrt(coalesce(min(pt + (t - pt) * pg / nullif(pg - gg, 0)) filter (j > jh and pg <= 0 and gg > 0), max(t))) as hi from {p}x group by {k})"""
 

@@ -197,3 +197,30 @@ def test_phases_of_a_long_series(spark):
     d = spark.range(n).select(F.lit(1).alias("unit"), F.col("id").alias("idx"), (F.sin(F.col("id") / 300.0) + F.col("id") % 7).alias("x"), F.cos(F.col("id") / 90.0).alias("y"))
     r = resample.phase_null(d, "unit", "idx", "x", "y", 2, "long").first()
     assert r.p is not None and np.isfinite(r.null_mean) and abs(r.null_mean) < 0.2
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quorumstat.sources import sinks
+
+    conf = {"spark.master": "spark://host:7077"}
+    with pytest.raises(ValueError, match="share"):
+        sinks.work_dir(SimpleNamespace(conf=conf))
+
+
+def test_spread_of_slopes_against_a_fine_grid(spark):
+    import numpy as np
+
+    from quorumstat.operators import slopes
+
+    rng = np.random.default_rng(8)
+    se = rng.uniform(0.1, 0.6, 60)
+    b = 0.4 + rng.normal(size=60) * np.hypot(0.5, se)
+    got = slopes.tau_profile(spark.createDataFrame([(float(x), float(y)) for x, y in zip(b, se, strict=True)], "b double, se double"), []).first()
+    t = np.exp(np.linspace(np.log(1e-4), np.log(4.0), 40_000))
+    w = 1 / (se**2 + t[:, None])
+    mu = (w * b).sum(1) / w.sum(1)
+    ll = 0.5 * np.log(w).sum(1) - 0.5 * (w * (b - mu[:, None]) ** 2).sum(1) - 0.5 * np.log(w.sum(1))
+    best = np.sqrt(t[ll.argmax()])
+    assert abs(got.tau / best - 1) < 1e-3
