@@ -27,6 +27,17 @@ from pyspark.sql.window import Window
 
 #: Characters outside the scripts in which both tokenizer libraries are known to agree.
 _RARE = re.compile("[^\t\n\r -~\u00a0-\u024f\u0400-\u045f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+#: The same for texts whose characters all have one byte in Latin-1.
+_LATIN = bytes(i for i in range(256) if not _RARE.match(chr(i)))
+
+
+def rare(text: str) -> bool:
+    try:
+        return bool(text.encode("latin-1").translate(None, _LATIN))
+    except UnicodeEncodeError:
+        return bool(_RARE.search(text))
+
+
 SCHEMA = "doc_id long, start long, length int, ids array<int>, ids_crc32 long, doc_tokens long"
 
 
@@ -71,9 +82,9 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """Little-endian unsigned 32-bit ids."""
-        if self.quick is None or _RARE.search(text):
+        if self.quick is None or rare(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.array(self.quick.encode(text, allowed_special="all"), dtype="<u4")
+        return self.quick.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 @lru_cache(maxsize=2)
