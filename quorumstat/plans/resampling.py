@@ -307,17 +307,16 @@ def _(t):
     return rounded(rs.phase_null(d, "user_id", "idx", "k", "value", 10, "i13"), "obs", "null_mean", "null_sd", "p")
 
 
-W0 = [1.0 if i % 3 == 0 else -0.5 for i in range(8)]
+W0 = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
 
 
-@query("I14_direction_null", f"""with e as (select vec_id, label, i, embedding[i + 1]::double as x from embeddings, (select unnest(range(8)) as i)),
- w0 as (select rep, i, {NORMAL('i14', 'rep', 'i')} as w from {REPS(30)}, (select unnest(range(8)) as i)), w as (select rep, i, w / sqrt(sum(w * w) over (partition by rep)) as w from w0),
+@query("I14_direction_null", f"""with e as (select vec_id, label, i, embedding[i + 1]::double as x from embeddings, (select unnest(range(64)) as i)),
+ w0 as (select rep, i, {NORMAL('i14', 'rep', 'i')} as w from {REPS(30)}, (select unnest(range(64)) as i)), w as (select rep, i, w / sqrt(sum(w * w) over (partition by rep)) as w from w0),
  p as (select rep, vec_id, any_value(label) as y, round(sum(x * w), 9) as x from e join w using (i) group by 1, 2), {sp_cte('s', 'p', 'rep', 'x', 'y')},
  q as (select vec_id, any_value(label) as y, round(sum(x * case when i % 3 = 0 then 1 else -0.5 end), 9) as x from e group by 1), {sp_cte('o', 'q', '', 'x', 'y')}
  select {R('any_value(o.rho)')} as obs, {R('avg(abs(s.rho))')} as null_mean, count(*) as n_null, {R('avg((abs(s.rho) < abs(o.rho))::int)')} as percentile from s, o""")
 def _(t):
-    d = t.embeddings.withColumn("v8", F.slice("embedding", 1, 8))
-    return rounded(rs.direction_null(d, "v8", 8, "label", W0, "vec_id", 30, "i14"), "obs", "null_mean", "percentile")
+    return rounded(rs.direction_null(t.embeddings, "embedding", 64, "label", W0, "vec_id", 30, "i14"), "obs", "null_mean", "percentile")
 
 
 PV = f"pv as (select o_custkey, o_custkey % 3 as fam, round(exp(-abs(avg(o_totalprice) - 250000) / 30000.0::double), 6) as p from orders group by 1)"

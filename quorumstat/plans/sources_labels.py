@@ -76,12 +76,18 @@ def _(t):
     return sk.cached(d, "supplier_means", mark)
 
 
-@query("S9_run_record")
+RUN_HASH = ", '|', ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::bigint)::hugeint" for i in range(4))
+
+
+@query("S9_run_record", f"""select 'price_summary' as name, 42 as seed, '0.05' as alpha, '20' as n_perm, {R('avg(o_totalprice)')} as mean_price, count(*)::double as n, count(*) as n_rows,
+ sha256(concat(count(*), '|', {RUN_HASH})) as sha256 from (select o_totalprice, md5(concat(length(o_orderkey::varchar), ':', o_orderkey, length(o_custkey::varchar), ':', o_custkey)) as h from orders)""")
 def _(t):
     m = t.orders.agg(F.avg("o_totalprice").alias("mean_price"), F.count(F.lit(1)).alias("n"))
     rec = sk.run_record(t.orders.select("o_orderkey", "o_custkey"), "price_summary", 42, {"alpha": 0.05, "n_perm": 20}, m)
     p = sk.write(rec, sk.scratch(t.spark, "record"), "json")
-    return t.spark.read.schema(rec.schema).json(p)
+    back = t.spark.read.schema(rec.schema).json(p)
+    return back.select("name", "seed", F.col("params")["alpha"].alias("alpha"), F.col("params")["n_perm"].alias("n_perm"), r6(F.col("metrics")["mean_price"]).alias("mean_price"),
+                       F.col("metrics")["n"].alias("n"), "input.n_rows", "input.sha256")
 
 
 @query("S10_latest_run", """with r as (select strftime(ts, '%Y%m%dT%H%M%S') || '_' || event_type as name, event_id as stamp from events)
@@ -158,7 +164,7 @@ def _(t):
     return t.pages.select("page_id", lb.group_key("url", r"/([0-9]{3,})", F.concat(F.lit("p"), F.col("page_id").cast("string"))).alias("grp"))
 
 
-@query("P5_feature_columns")
+@query("P5_feature_columns", " union all ".join(f"select '{c}' as feature, {R(f'avg({c})')} as mean from lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
 def _(t):
     a = t.lineitem.withColumn("l_extra", F.col("l_tax") * 2)
     cols = lb.feature_cols([t.lineitem, a], [t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")])

@@ -63,6 +63,11 @@ def _(t):
     return d.groupBy(F.round("x_z", 2).alias("z")).agg(F.count(F.lit(1)).alias("n")).withColumn("p", r6(udfs.norm_p_two_sided("z")))
 
 
+@query("D2_grouped_map", f"""with {EV} select user_id, count(*) as n, {R('regr_slope(value, k)')} as slope from ev group by 1""")
+def _(t):
+    return rounded(udfs.grouped_slope(t.ratings, "user_id", "k", "value"), "slope")
+
+
 @query("D3_centred_p", f"""with {EV}, r as (select user_id, event_id, {RANK('k', 'user_id')} as rx, {RANK('value', 'user_id')} as ry from ev),
  o as (select user_id, round({CORR('rx', 'ry')}, 9) as obs from r group by 1), n as (select user_id, rep, round({CORR('rx', f"ry * case when {U('d3', 'rep', 'event_id')} < 0.5 then -1 else 1 end")}, 9) as v from r, {REPS(15)} group by 1, 2),
  c as (select user_id, quantile_cont(v, 0.5) as c from n group by 1)
