@@ -4,12 +4,12 @@ Generators of high recall propose spans that may overlap. Exact format checks co
 base kinds (email, ip, card, phone); every other candidate gets a score from boosted trees
 over its format and its context, and is taken if the score reaches the threshold of its
 generator. The trees learn on candidates of a bounded sample of documents, with the format
-checks and context words as weak labels, and the thresholds are set on a held-out half so
-that at least ``precision`` of what passes is labelled positive there.
+checks and context words as weak labels; the thresholds are set on all candidates of the
+table, so that at least ``precision`` of what passes of each kind is labelled positive.
 
 Null and empty texts have no spans. Rows of equal key and text are scanned once and judged
 alike. All patterns run in linear time on any text: runs are possessive and begin at the
-start of a run or where the last match ended. A sample without both labels takes nothing
+start of a run or where the last match ended. A table without both labels takes nothing
 beyond the base.
 """
 
@@ -49,6 +49,8 @@ GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{13}[0-9 -]*[
 CONTEXT = r"(?i)(?:e-?mail|mail|contact|phone|tel|call|fax|mobile|ssn|social|passport|card|visa|account|iban|bank|ip|addr|server|host|key|token|secret|password|passwd|api|write to)[^\n]{0,24}$"
 FEATURES = ["generator", "n_chars", "n_digits", "n_letters", "n_marks", "n_runs", "digit_share", "luhn", "context", "glued_left", "glued_right", "n_distinct"]
 AROUND = 48
+#: A threshold that no score reaches.
+NEVER = 2.0
 
 
 def digits(s: Column) -> Column:
@@ -119,43 +121,85 @@ def weak_label(d: DataFrame) -> DataFrame:
     return d.withColumn("label", F.when(own, F.col("confirmed")).otherwise((F.col("context") == 1) & (F.col("n_distinct") > 3)).cast("double"))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4000, precision: float = 0.95, rounds: int = 10, depth: int = 3):
-    """(model, threshold of each loose generator) from the ``sample`` documents of least key hash, or (None, {})."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4000, rounds: int = 10, depth: int = 3):
+    """Trees from half of the ``sample`` documents of least key hash, or None.
+
+    If that half has one label only, the ``sample`` candidates of either label with the least
+    hash among all of the table take its place; None if the table has one label only.
+    """
     picked = docs.select(key).filter(F.col(text).rlike(ANY)).orderBy(F.xxhash64(key), key).limit(sample)
     some = docs.join(F.broadcast(picked), key, "left_semi")
-    rows = weak_label(described(candidates(some, key, text))).filter(~F.col("overlaps")).select("_key", "kind", "label", *FEATURES)
-    rows = store.keep(rows, "pii-sample").withColumn("half", F.pmod(F.xxhash64("_key", F.lit("half")), F.lit(2)))
-    labels = dict(rows.filter("half = 0").groupBy("label").count().collect())
-    if len(labels) < 2:
-        return None, {}
+    half = F.pmod(F.xxhash64("_key", F.lit("half")), F.lit(2))
+    rows = store.keep(labelled(some, key, text).filter(half == 0).select("label", *FEATURES), "pii-sample")
+    if rows.select("label").distinct().count() < 2:
+        every = labelled(docs, key, text)
+        one = lambda x: every.filter(F.col("label") == x).orderBy(F.xxhash64("_key", "_hash", "kind", "start"), "_key", "kind", "start").limit(sample).select("label", *FEATURES)
+        rows = store.keep(one(0.0).union(one(1.0)), "pii-sample")
+        if rows.select("label").distinct().count() < 2:
+            return None
     packed = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, seed=7).fit(packed.filter("half = 0"))
-    scored = scores(model, packed.filter("half = 1")).filter(~F.col("kind").isin(*KINDS))
-    bins = scored.groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(F.count(F.lit(1)), F.sum("label")).collect()  # 101 rows a kind at most
-    limits = {}
-    for k in LOOSE:
-        n = good = 0
-        for _, b, count, pos in sorted((x for x in bins if x[0] == k), key=lambda x: -x[1]):
-            n, good = n + count, good + pos
+    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, seed=7).fit(packed)
+
+
+def labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return weak_label(described(candidates(docs, key, text))).filter(~F.col("overlaps"))
+
+
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", model=None) -> DataFrame:
+    """_key, _hash, kind, start, end, confirmed, label, score of every candidate that counts.
+
+    Confirmed ones have no score; those that overlap a confirmed one and, without a model, all others are left out.
+    """
+    d = weak_label(described(candidates(docs, key, text)))
+    if model is None:
+        return d.filter("confirmed").select("_key", "_hash", "kind", "start", "end", "confirmed", "label", F.lit(None).cast("double").alias("score"))
+    d = d.filter(F.col("confirmed") | (~F.col("kind").isin(*KINDS) & ~F.col("overlaps")))
+    d = scores(model, VectorAssembler(inputCols=FEATURES, outputCol="features").transform(d))
+    return d.select("_key", "_hash", "kind", "start", "end", "confirmed", "label", F.when(~F.col("confirmed"), F.col("score")).alias("score"))
+
+
+def calibrate(found: DataFrame, precision: float = 0.95) -> dict[str, float]:
+    """Threshold of each loose generator from all of its candidates in a judged table."""
+    bins = found.filter("score is not null").groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(F.count(F.lit(1)), F.sum("label")).collect()  # 101 rows a kind at most
+    return thresholds([tuple(b) for b in bins], precision)
+
+
+def thresholds(bins: list[tuple], precision: float) -> dict[str, float]:
+    """The least score of each loose kind from which on ``precision`` of the candidates are labelled positive.
+
+    ``bins`` are (kind, hundredth of the score, count, positives). A kind whose every score falls
+    short is never taken; one without a candidate is judged by the bins of all kinds together.
+    """
+    def least(own: list[tuple]) -> float:
+        limit, n, good = NEVER, 0, 0
+        for b in sorted({x[1] for x in own}, reverse=True):
+            n, good = n + sum(x[2] for x in own if x[1] == b), good + sum(x[3] for x in own if x[1] == b)
             if good >= precision * n:
-                limits[k] = b / 100
-            else:
-                break
-    return model, limits
+                limit = b / 100
+        return limit
+
+    by = {k: [x for x in bins if x[0] == k] for k in LOOSE}
+    return {k: least(own or bins) for k, own in by.items()}
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4000, precision: float = 0.95, rounds: int = 10, depth: int = 3):
+    """(model from a bounded sample, threshold of each loose generator from all documents), or (None, {})."""
+    model = train(docs, key, text, sample, rounds, depth)
+    return (None, {}) if model is None else (model, calibrate(judged(docs, key, text, model), precision))
 
 
 def scores(model, packed: DataFrame) -> DataFrame:
     return model.transform(packed).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", model=None, limits: dict[str, float] | None = None, out: str = "pii") -> DataFrame:
-    """All columns of docs and a struct: spans (kind, start, end; kinds as listed, then start), base (the base ones alone)."""
-    d = described(candidates(docs, key, text))
-    base = d.filter("confirmed").select("_key", "_hash", "kind", "start", "end")
-    if model is not None and limits:
-        loose = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(d.filter(F.col("kind").isin(*limits) & ~F.col("overlaps")))
-        enough = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(v))) for k, v in sorted(limits.items())])
-        base = base.unionByName(scores(model, loose).filter(F.col("score") >= enough).select("_key", "_hash", "kind", "start", "end"))
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", model=None, limits: dict[str, float] | None = None, out: str = "pii", found: DataFrame | None = None) -> DataFrame:
+    """All columns of docs and a struct: spans (kind, start, end; kinds as listed, then start), base (the base ones alone).
+
+    ``found`` is the judged table of docs, if there is one already.
+    """
+    found = judged(docs, key, text, model if limits else None) if found is None else found
+    enough = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(v))) for k, v in sorted((limits or {}).items())], F.lit(NEVER))
+    base = found.filter(F.col("confirmed") | (F.col("score") >= enough)).select("_key", "_hash", "kind", "start", "end")
     no = F.array_position(F.array(*[F.lit(k) for k in (BASE | LOOSE)]), F.col("kind"))
     per = base.groupBy("_key", "_hash").agg(F.array_sort(F.collect_list(F.struct(no.alias("no"), "start", "end", "kind"))).alias("_spans"))
     (h,) = store.fresh(docs, "_text_hash")
@@ -190,11 +234,17 @@ def redact(docs: DataFrame, text: str = "text", found: str = "pii") -> DataFrame
     return docs.withColumn(text, F.when(F.size(f"{found}.spans") > 0, new).otherwise(F.col(text)))
 
 
+def fit_and_detect(docs: DataFrame, out: str = "pii") -> DataFrame:
+    """As fit and detect, with the texts scanned once for both."""
+    model = train(docs)
+    found = store.keep(judged(docs, model=model), "pii-judged")
+    return detect(docs, limits=calibrate(found), out=out, found=found)
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data in the texts is replaced; n_chars follows; no document goes."""
-    model, limits = fit(docs)
     (out,) = store.fresh(docs, "_pii")
-    new = redact(detect(docs, model=model, limits=limits, out=out), found=out)
+    new = redact(fit_and_detect(docs, out), found=out)
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return new.select(*map(F.col, store.named(docs)))
@@ -202,8 +252,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model, limits = fit(docs)
-    d = detect(docs, model=model, limits=limits)
+    d = fit_and_detect(docs)
     kinds = F.transform("pii.base", lambda x: x["kind"])
     n = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in KINDS]
     return d.select("doc_id", *n, F.sha2(written("pii.base"), 256).alias("base_sha256"), written("pii.spans").alias("spans"))

@@ -256,6 +256,28 @@ def test_pii(spark):
     assert pii.fit(docs.limit(0)) == (None, {})
 
 
+def test_pii_kind_outside_the_sample(spark):
+    """A kind that no sampled document has is judged on all of the table's candidates."""
+    common = [("my ssn 123-45-6789", 1), ("order 123-45-6789", 0), ("tel 555 123-4567", 1), ("lot 555 123-4567", 0)]
+    ids = spark.range(400).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = [(r.doc_id, common[n % 4][0] + " x" * n) for n, r in enumerate(ids[:380])] + [(r.doc_id, "iban GB29 NWBK 6016 1331 9268 19" + " x" * n) for n, r in enumerate(ids[380:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, limits = pii.fit(docs, sample=200)
+    got = {r.doc_id: r.s for r in pii.detect(docs, model=model, limits=limits).select("doc_id", pii.written("pii.spans").alias("s")).collect()}
+    assert all(got[r.doc_id] for r in ids[380:]) and set(limits) == set(pii.LOOSE)
+    assert {got[r.doc_id] for n, r in enumerate(ids[:380]) if n % 4 == 1} == {""}
+    # A sample whose documents have one label only gives way to candidates of all the table.
+    assert pii.fit(docs.filter(~F.col("text").startswith("order") & ~F.col("text").startswith("lot") | (F.col("doc_id") == ids[377].doc_id)), sample=4)[0] is not None
+
+
+def test_pii_thresholds():
+    bins = [("key", 90, 10, 9.0), ("key", 80, 90, 90.0), ("key", 10, 900, 0.0), ("iban", 50, 10, 1.0)]
+    got = pii.thresholds(bins, 0.95)
+    assert got["key"] == 0.8 and got["iban"] == pii.NEVER  # the best bin alone falls short for key
+    assert set(got) == set(pii.LOOSE) and got["ipv6"] == 0.8  # no candidate: all kinds together
+    assert set(pii.thresholds([], 0.95).values()) == {pii.NEVER}
+
+
 def test_license_scan(spark, docs):
     cases = [("Released under the MIT License, or the Apache license 2.0", "apache,mit", "apache,mit", 0.95), ("licensed under the GNU Lesser General Public License version 3", "gpl", "gpl,lgpl", 0.95),
              ("SPDX-License-Identifier: MPL-2.0", "", "mpl", 1.0), ("mit der Zeit", "", "", 0.0), (None, "", "", 0.0), ("", "", "", 0.0), ("mit license " * 500, "mit", "mit", 0.8)]
