@@ -28,6 +28,8 @@ table gives an empty table. Nothing is dropped, and no partner or candidate is c
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -73,8 +75,23 @@ def _class(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).astype(np.int64))
 
 
-def reported(n: int) -> int:
-    return min(n, max(n - least_shared(n) + 1, int(np.ceil(REPORTED * n))))
+def reported(n):
+    """Shingles that a set of n reports; works on arrays as well."""
+    return np.minimum(n, np.maximum(n - least_shared(n) + 1, np.ceil(REPORTED * n).astype(np.int64)))
+
+
+@lru_cache(1 << 16)
+def least_met(n: int) -> int:
+    """Reported shingles of a set of n that any set it links with surely reports, too.
+
+    Of s shared shingles, in the order of hashes, the first k(n) - (n - s) at least are in
+    the n's report and the first k(m) - (m - s) in the partner's; the lesser of both is in
+    both. The least over all sizes m that may link counts.
+    """
+    m = np.arange(least_shared(n), n * 100 // PER_CENT + 1)
+    s = -(-PER_CENT * (n + m) // (100 + PER_CENT))
+    m, s = m[s <= np.minimum(n, m)], s[s <= np.minimum(n, m)]
+    return int(np.minimum(reported(n) - (n - s), reported(m) - (m - s)).min())
 
 
 def _block_sets(t: pa.Table):
@@ -117,7 +134,7 @@ def classify(t: pa.Table, shared: pa.Table) -> pa.Table:
                 seen.add(c)
                 k = reported(n)
                 at = np.minimum(np.searchsorted(want, s[:k]), max(len(want) - 1, 0))
-                if len(want) and np.count_nonzero(want[at] == s[:k]) >= max(1, k - (n - least_shared(n))):
+                if len(want) and np.count_nonzero(want[at] == s[:k]) >= least_met(n):
                     kept = s.view(np.int64)
             tokens.append(kept)
     return pa.table({"_id": pa.array(ids, pa.int64()), "n": pa.array(size, pa.int64()), "c": pa.array(cls, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})

@@ -110,6 +110,28 @@ def test_jaccard_chain_of_links(spark):
         assert sorted(map(key, got)) == sorted(map(key, want))
 
 
+@pytest.mark.parametrize("n, m", [(4, 5), (8, 10), (24, 30)])
+def test_jaccard_nested_sets(n, m):
+    """A set and one that holds it, at exactly 0.8, are set aside under no order of the hashes."""
+    import numpy as np
+
+    own = [{x: np.sort(np.random.default_rng(seed).integers(0, 1 << 62, m, dtype=np.uint64)[:x]) for x in (n, m)} for seed in range(20_000)]
+    for s in own:
+        k = {x: int(jaccard_join.reported(x)) for x in (n, m)}
+        met = len(np.intersect1d(s[n][: k[n]], s[m][: k[m]]))
+        assert met >= jaccard_join.least_met(n) and met >= jaccard_join.least_met(m)
+    assert all(jaccard_join.least_met(x) >= 1 for x in range(1, 2000))
+
+
+def test_jaccard_nested_texts(spark):
+    rows = []
+    for seed, (n, more) in enumerate([(8, 1)] * 60 + [(12, 2)] * 100):
+        w = [f"s{seed}w{k}" for k in range(n + more)]
+        rows += [(2 * seed, " ".join(w[:n])), (2 * seed + 1, " ".join(w))]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute_components(rows)))
+
+
 def test_components_of_a_long_path(spark):
     got = jaccard_join.components(spark.range(40).selectExpr("id + 1 as u", "id as v")).collect()
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(1, 41)]
