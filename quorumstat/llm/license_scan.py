@@ -2,7 +2,8 @@
 
 A text is written as words, each between two blanks, so that every rule is a plain pattern
 over whole words. A first gate looks for a few stems in the raw text; a rule's pattern then
-runs only where its keyword occurs. Detections have a priority; one that lies inside
+runs only where its keyword occurs, a word that every match of the pattern has: alternatives
+without a common word are rules of their own. Detections have a priority; one that lies inside
 another of the same or a better priority is suppressed. Base phrases are reported at every
 place and are never suppressed.
 
@@ -106,6 +107,19 @@ def _any(phrases: str) -> str:
     return "(?:" + "|".join(_seq(p) for p in sorted(phrases.split("|"), key=lambda p: (-len(p.split()), p))) + ")"
 
 
+def _by_keyword(phrases: str, key: str) -> dict[str, str]:
+    """The phrases by a word that each of them has: the family's keyword or else their last."""
+    out: dict[str, list[str]] = {}
+    for p in phrases.split("|"):
+        out.setdefault(key if key in p.split() else p.split()[-1], []).append(p)
+    return {k: "|".join(ps) for k, ps in out.items()}
+
+
+def _glued(phrases: str) -> str:
+    """Identifiers with the version in the same word, as in gplv3 and lgplv2.1."""
+    return "(?:" + "|".join(_seq(p)[:-1] for p in sorted(phrases.split("|"), key=lambda p: (-len(p.split()), p))) + ")(?:v|ver|version)?[0-9]+ (?: [0-9]+ )?"
+
+
 LICENSE, VERSION = "(?: license | licence )", "(?:(?: version | v )? [0-9]+ (?: [0-9]+ )?| v[0-9]+ (?: [0-9]+ )?)"
 # Templates over a family: name, pattern of (names, identifiers), priority (1 is best), score.
 TEMPLATES = [
@@ -119,12 +133,34 @@ TEMPLATES = [
 ]
 
 
+# Templates over identifiers with a glued version: name, keyword, pattern, priority, score.
+GLUED = [
+    ("glued_tag", "identifier", lambda g: f" spdx  license  identifier {g}", 1, 1.0),
+    ("glued_grant", "under", lambda g: f"(?: released | distributed | available | provided | published ) under (?: the )?(?: terms  of )?(?: the )?{g}{LICENSE}", 2, 0.95),
+    ("glued_short", "under", lambda g: f"(?: licensed | licenced ) under (?: the )?(?: terms  of )?(?: the )?{g}(?:{LICENSE})?", 2, 0.95),
+    ("glued_version", "license", lambda g: f"{g} license ", 3, 0.9),
+    ("glued_version_c", "licence", lambda g: f"{g} licence ", 3, 0.9),
+    ("glued_address", "licenses", lambda g: f"(?: opensource  org | spdx  org | gnu  org | apache  org | creativecommons  org ) licenses {g}", 3, 0.9),
+    ("glued_label", "license", lambda g: f" license {g}", 5, 0.6),
+    ("glued_label_c", "licence", lambda g: f" licence {g}", 5, 0.6),
+]
+#: Templates that are filled with identifiers; the others take names.
+BY_ID = ("tag", "address", "label")
+
+
 def rules() -> list[Rule]:
-    """Families times templates, notices and base phrases: some 300 rules."""
+    """Families times templates, notices and base phrases: some 600 rules, one for each keyword of the alternatives."""
     out = [Rule(f"base.{k}", k, key, _seq(p), 4, 0.8, True) for k, key, p in BASE]
     out += [Rule(f"notice.{i}", k, key, _seq(p), 2, 0.9 if k != "proprietary" else 0.5) for i, (k, key, p) in enumerate(NOTICES)]
+    seen = set()
     for i, (label, key, names, ids) in enumerate(FAMILIES):
-        out += [Rule(f"{t}.{i}", label, key, make(names, ids), pri, score) for t, make, pri, score in TEMPLATES]
+        made = []
+        for t, make, pri, score in TEMPLATES:
+            for word, phrases in _by_keyword(ids if t in BY_ID else names, key).items():
+                made.append(Rule(f"{t}.{i}" + f".{word}" * (word != key), label, word, make(phrases, phrases), pri, score))
+        made += [Rule(f"{t}.{i}", label, word, make(_glued(ids)), pri, score) for t, word, make, pri, score in GLUED]
+        out += [r for r in made if (r.label, r.pattern) not in seen]
+        seen |= {(r.label, r.pattern) for r in made}
     return out
 
 

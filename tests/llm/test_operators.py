@@ -311,6 +311,17 @@ def test_license_scan(spark, docs):
     assert len(license_scan.rules()) > 200 and license_scan.scan(docs).count() == docs.count()
 
 
+def test_license_alternatives(spark):
+    """Each alternative of each family in each template finds its label, whatever keyword the family has."""
+    forms = {"tag": "SPDX-License-Identifier: {}", "grant": "released under the terms of the {} licence", "short_grant": "licensed under {}", "version": "{} License v2", "address": "https://spdx.org/licenses/{}",
+             "name": "{} License", "label": "License: {}", "glued_tag": "SPDX-License-Identifier: {}v3", "glued_grant": "published under the {}v2.1 license", "glued_short": "licensed under the terms of the {}v2.1", "glued_version": "{}2 licence", "glued_address": "opensource.org/licenses/{}3", "glued_label": "license {}v3"}
+    cases = [(label, f.format(p)) for label, _, names, ids in license_scan.FAMILIES for t, f in forms.items() for p in (ids if t in license_scan.BY_ID or "glued" in t else names).split("|")]
+    d = spark.createDataFrame([(i, c[1]) for i, c in enumerate(cases)], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(d).select("doc_id", "license.labels").collect()}
+    assert [c for i, c in enumerate(cases) if c[0] not in got[i]] == []
+    assert len({r.name for r in license_scan.rules()}) == len(license_scan.rules())
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://NET/x", "http://net", "https://a.example.net/en/1", "https://example.net/de/1", "http://xexample.com/de/", "http://example.com/de/#f", "//x://w.org/fr/?q", "http://org/fr", "http://a..net/", "x://h.net?/"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] * 2, "page_id long, url string, host int")
