@@ -38,6 +38,15 @@ def rare(text: str) -> bool:
         return bool(_RARE.search(text))
 
 
+#: From so many white-space characters in a row on, the quick library's pattern may run out of stack.
+_BLANKS = re.compile(r"\s{50000}")
+
+
+def plain(text: str) -> bool:
+    """Whether the quick library is known to give the same ids."""
+    return not rare(text) and (len(text) < 50_000 or not _BLANKS.search(text))
+
+
 SCHEMA = "doc_id long, start long, length int, ids array<int>, ids_crc32 long, doc_tokens long"
 
 
@@ -59,7 +68,8 @@ class Encoder:
     Where the same vocabulary lies beside it as ranks, texts of common scripts go through
     ``tiktoken``, which gives the same ids in a quarter of the time; the special strings
     keep the ids that the file gives them. Texts with any other character, whose class the
-    two libraries might see differently, go through ``tokenizers``.
+    two libraries might see differently, or with very long runs of white space, go through
+    ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -82,7 +92,7 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """Little-endian unsigned 32-bit ids."""
-        if self.quick is None or rare(text):
+        if self.quick is None or not plain(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self.quick.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, license_scan, merkle_audit, packing, pii, quality_rules, substring_dedup, token_counts, url_filter
+from . import decontaminate, jaccard_join, license_scan, merkle_audit, packing, pii, quality_rules, substring_dedup, token_alignment, token_counts, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_token_counts": token_counts.query,
     "op10_decontaminate": decontaminate.query,
+    "op13_token_alignment": token_alignment.query,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
