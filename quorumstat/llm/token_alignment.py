@@ -7,7 +7,7 @@ token of it.
 
 1. Documents are shuffled by their full text and counted: copies meet there, and are counted on
    the map side first, so a text that a third of all rows share is one row per map task.
-2. Each distinct text is encoded and aligned once. Its measures and its distinct linked id pairs
+2. Each distinct text is encoded and aligned once, by its segments (see ``Segments``). Its measures and its distinct linked id pairs
    are written to the shared folder.
 3. Texts are dealt to blocks by digest. A block reports each of its pairs once, weighted by the
    multiplicity of the texts; the sums over the blocks are the document counts of the pairs.
@@ -27,8 +27,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +83,9 @@ class ByteLevel:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
+    def spelt(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [self.quick.encode_to_numpy(t).astype(np.int64) if self.quick is not None and plain(t) else np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int64) for t in (" " + t for t in texts)]
 
@@ -95,14 +101,17 @@ class Pieces:
         self.bytes = [bytes([int(self.tok.id_to_piece(i)[3:-1], 16)]) if self.tok.is_byte(i) else self.tok.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         self.size = np.array([*map(len, self.bytes)])
 
+    def spelt(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.int64) for x in self.tok.encode(texts, num_threads=1)]
 
 
 @lru_cache(maxsize=2)
-def sides(a: str, b: str) -> tuple[ByteLevel, Pieces]:
-    """Kept by the worker from task to task."""
-    return ByteLevel(a), Pieces(b)
+def sides(a: str, b: str) -> Segments:
+    """Both tokenizers and what they gave so far; kept by the worker from task to task."""
+    return Segments(ByteLevel(a), Pieces(b))
 
 
 @lru_cache(maxsize=4)
@@ -168,46 +177,156 @@ def links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, text: np
     return distinct(np.concatenate(keys), np.concatenate(counts))
 
 
-def align_texts(texts: list[str], a: ByteLevel, b: Pieces) -> list[tuple]:
-    """(n_a, n_b, n_groups, n_links, groups, pair keys, their links) of each text; pair key: A id * size of B + B id."""
-    out = [(0, 0, 0, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
-    full = [i for i, t in enumerate(texts) if t]
-    both = zip(full, a.ids([texts[i] for i in full]), b.ids([texts[i] for i in full]), strict=True)
-    held = []
-    for i, x, y in both:
-        whole = b" " + texts[i].encode()
-        if b"".join(map(a.bytes.__getitem__, x.tolist())) == whole == b"".join(map(b.bytes.__getitem__, y.tolist())):
-            held.append((i, x, y, len(whole)))
-    if not held:
-        return out
-    ids_a, ids_b = np.concatenate([x for _, x, _, _ in held]), np.concatenate([y for _, _, y, _ in held])
-    end_a = np.cumsum(a.size[ids_a])
-    end_b = np.cumsum(b.size[ids_b])
-    border = np.cumsum([n for _, _, _, n in held])
+@dataclass
+class Aligned:
+    """Measures of some texts; ``cut`` bounds each text's pairs (A id * size of B + B id) and their links."""
+
+    n: np.ndarray  # texts x (A tokens, B tokens, groups, links)
+    groups: list[bytes]
+    pairs: np.ndarray
+    links: np.ndarray
+    cut: np.ndarray
+
+
+def none(k: int) -> Aligned:
+    return Aligned(np.zeros((k, 4), np.int64), [b""] * k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(k + 1, np.int64))
+
+
+def align_parts(a: ByteLevel, b: Pieces, ids_a: np.ndarray, ids_b: np.ndarray, border: np.ndarray) -> Aligned:
+    """Texts that lie end to end: their ids on both sides and the byte where each ends; both sides spell the same bytes."""
+    if not len(border):
+        return none(0)
+    end_a, end_b = np.cumsum(a.size[ids_a]), np.cumsum(b.size[ids_b])
     common = np.intersect1d(end_a, end_b, assume_unique=True)
+    last = np.searchsorted(common, border)
+    if not np.array_equal(common[last], border):
+        raise ValueError("a token crosses the end of a text")
     ga, gb = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
     na, nb = np.bincount(ga, minlength=len(common)), np.bincount(gb, minlength=len(common))
-    text = np.searchsorted(border, common)
-    last = np.searchsorted(common, border)
     flat, ends = spell(ids_a, ids_b, ga, gb, na, nb, last, max(len(a.bytes), len(b.bytes)))
+    text = np.searchsorted(border, common)
     key, n = links(ids_a, ids_b, na, nb, text, len(a.bytes), len(b.bytes))
     per_text = len(a.bytes) * len(b.bytes)
-    cut = np.searchsorted(key, np.arange(len(held) + 1) * per_text)
-    linked = np.append(0, np.cumsum(na * nb))[np.append(0, last + 1)]
-    chars = np.append(0, ends)
-    for r, (i, x, y, _) in enumerate(held):
-        own = slice(cut[r], cut[r + 1])
-        groups = last[r] - (last[r - 1] if r else -1)
-        out[i] = (len(x), len(y), int(groups), int(linked[r + 1] - linked[r]), flat[chars[r] : chars[r + 1]].tobytes(), key[own] - r * per_text, n[own])
+    cut = np.searchsorted(key, np.arange(len(border) + 1) * per_text)
+    up_to = np.append(0, last + 1)
+    counts = [np.diff(np.append(0, np.cumsum(x))[up_to]) for x in (na, nb, np.ones(len(na), np.int64), na * nb)]
+    chars, flat = np.append(0, ends).tolist(), flat.tobytes()
+    groups = [flat[i:j] for i, j in zip(chars, chars[1:], strict=False)]
+    return Aligned(np.stack(counts, axis=1), groups, key - np.repeat(np.arange(len(border)), np.diff(cut)) * per_text, n, cut)
+
+
+def gather(of: Aligned, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position in rows, pair, links) of the pairs of the given rows, in order."""
+    size = np.diff(of.cut)[rows]
+    take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(of.cut[rows], size)
+    return np.repeat(np.arange(len(rows)), size), of.pairs[take], of.links[take]
+
+
+def whole(texts: list[str], a: ByteLevel, b: Pieces) -> Aligned:
+    """Texts encoded one by one."""
+    ok, ids_a, ids_b, size = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    full = [i for i, t in enumerate(texts) if t]
+    for i, x, y in zip(full, a.ids([texts[i] for i in full]), b.ids([texts[i] for i in full]), strict=True):
+        raw = b" " + texts[i].encode()
+        if a.spelt(x) == raw == b.spelt(y):
+            ok.append(i)
+            ids_a.append(x)
+            ids_b.append(y)
+            size.append(len(raw))
+    got = align_parts(a, b, np.concatenate(ids_a), np.concatenate(ids_b), np.cumsum(size, dtype=np.int64))
+    out = none(len(texts))
+    out.n[ok] = got.n
+    width = np.zeros(len(texts), np.int64)
+    width[ok] = np.diff(got.cut)
+    for i, g in zip(ok, got.groups, strict=True):
+        out.groups[i] = g
+    return Aligned(out.n, out.groups, got.pairs, got.links, np.append(0, np.cumsum(width)))
+
+
+class Segments:
+    """What has been worked out for runs of white space and the word behind them.
+
+    Neither tokenizer joins a word's end to white space behind it (``safe`` looks the pieces
+    through; the byte-level pattern never does), so tokens and groups of a plain text are
+    those of its segments, one after another, and a segment that came before need not be
+    encoded again. All new segments of a slice are encoded as one text.
+    """
+
+    BLANK = " \t\n\u00a0"
+    PATTERN = re.compile(f"[{BLANK}]*[^{BLANK}]+")
+
+    def __init__(self, a: ByteLevel, b: Pieces, most: int = 200_000):
+        self.a, self.b, self.most = a, b, most
+        blank = {ord(c) for c in self.BLANK if ord(c) < 128}
+        joined = [p.replace(b"\xc2\xa0", b" ") for p in b.bytes]
+        self.safe = not any(x not in blank and y in blank for p in joined for x, y in zip(p, p[1:], strict=False))
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.held = none(0)
+
+    def fits(self, text: str) -> bool:
+        return self.safe and bool(text) and "\r" not in text and text[-1] not in self.BLANK and plain(text)
+
+    def learn(self, new: list[str]) -> bool:
+        """False if a side doesn't give the segments back byte for byte, as one that normalises its text."""
+        new = [" a", *new]  # the first one starts with the space that both sides begin with
+        text = "".join(new)
+        ids_a, ids_b = self.a.ids([text[1:]])[0], self.b.ids([text[1:]])[0]
+        if not self.a.spelt(ids_a) == text.encode() == self.b.spelt(ids_b):
+            self.safe = False
+            return False
+        got = align_parts(self.a, self.b, ids_a, ids_b, np.cumsum([len(s.encode()) for s in new]))
+        n = len(self.at)
+        self.at.update(zip(new[1:], range(n, n + len(new) - 1), strict=True))
+        h, skip = self.held, got.cut[1]
+        self.held = Aligned(np.concatenate([h.n, got.n[1:]]), h.groups + got.groups[1:], np.concatenate([h.pairs, got.pairs[skip:]]), np.concatenate([h.links, got.links[skip:]]), np.concatenate([h.cut, got.cut[2:] - skip + h.cut[-1]]))
+        return True
+
+    def align(self, texts: list[str]) -> Aligned | None:
+        parts = [self.PATTERN.findall(" " + t) for t in texts]
+        if len(self.at) > self.most:
+            self.forget()
+        new = list({s for p in parts for s in p}.difference(self.at))
+        if not all(self.learn(new[i : i + 20_000]) for i in range(0, len(new), 20_000)):
+            return None
+        count = np.array([*map(len, parts)])
+        rows = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64, count.sum())
+        text = np.repeat(np.arange(len(texts)), count)
+        first = np.cumsum(count) - count
+        at, pairs, n = gather(self.held, rows)
+        per_text = len(self.a.bytes) * len(self.b.bytes)
+        key, n = distinct(text[at] * per_text + pairs, n)
+        cut = np.searchsorted(key, np.arange(len(texts) + 1) * per_text)
+        own = self.held.groups
+        groups = [b";".join([own[r] for r in rows[i : i + c].tolist()]) for i, c in zip(first.tolist(), count.tolist(), strict=True)]
+        return Aligned(np.add.reduceat(self.held.n[rows], first), groups, key - np.repeat(np.arange(len(texts)), np.diff(cut)) * per_text, n, cut)
+
+
+def align_texts(texts: list[str], memo: Segments) -> list[tuple]:
+    """(n_a, n_b, n_groups, n_links, groups, pair keys, their links) of each text."""
+    fits = [memo.fits(t) for t in texts]
+    out: list[tuple] = [()] * len(texts)
+    for wanted in (True, False):
+        rows = [i for i, f in enumerate(fits) if f is wanted]
+        if not rows:
+            continue
+        mine = [texts[i] for i in rows]
+        got = (memo.align(mine) if wanted else None) or whole(mine, memo.a, memo.b)
+        for r, i in enumerate(rows):
+            own = slice(got.cut[r], got.cut[r + 1])
+            out[i] = (*got.n[r].tolist(), got.groups[r], got.pairs[own], got.links[own])
     return out
 
 
 def _aligned(frames: Iterator[pa.RecordBatch], path_a: str, path_b: str, with_groups: bool) -> Iterator[pa.RecordBatch]:
-    a, b = sides(path_a, path_b)
+    memo = sides(path_a, path_b)
+    a, b = memo.a, memo.b
     small = len(a.bytes) * len(b.bytes) <= 1 << 32
     for batch in frames:
         for part in slices(batch, "_text"):
-            got = align_texts(part.column(2).to_pylist(), a, b)
+            got = align_texts(part.column(2).to_pylist(), memo)
             cols = [part.column(0), part.column(1), *(pa.array([g[k] for g in got], pa.int64()) for k in range(4))]
             cols.append(pa.array([g[4].decode() if with_groups else hashlib.sha256(g[4]).hexdigest() if g[4] else "" for g in got], pa.string()))
             cols.append(pa.array([g[5].astype("<u4" if small else "<u8").tobytes() for g in got], pa.binary()))
@@ -259,8 +378,8 @@ def pair_counts(texts: DataFrame, n_a: int, n_b: int) -> tuple[DataFrame, DataFr
 
 def align(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, key: str = "doc_id", text: str = "text", with_groups: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: key, MEASURES and ``groups`` (without ``with_groups`` its SHA-256 in hexadecimal digits)."""
-    a, b = sides(tokenizer_a, tokenizer_b)
-    n_a, n_b = len(a.bytes), len(b.bytes)
+    memo = sides(tokenizer_a, tokenizer_b)
+    n_a, n_b = len(memo.a.bytes), len(memo.b.bytes)
     slim = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     size = slim.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = max(64, -(-size // block_bytes))
