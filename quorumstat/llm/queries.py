@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, decontaminate, jaccard_join, license_scan, merkle_audit, packing, pii, quality_rules, substring_dedup, token_alignment, token_counts, url_filter
+from . import conversation_repair, decontaminate, jaccard_join, license_scan, merkle_audit, packing, pii, quality_rules, substring_dedup, suffix_dedup, token_alignment, token_counts, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_token_counts": token_counts.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_suffix_dedup": suffix_dedup.query,
     "op12_conversation_repair": conversation_repair.query,
     "op13_token_alignment": token_alignment.query,
 }
@@ -25,4 +26,5 @@ ORACLES = {
     "op4_jaccard_join": jaccard_join.SQL,
     "op7_license_scan": license_scan.sql(),
     "op8_quality_rules": quality_rules.SQL,
+    "op11_suffix_dedup": suffix_dedup.SQL,
 }
