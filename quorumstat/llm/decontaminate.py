@@ -23,7 +23,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +35,9 @@ MASKS = ("1110110101101", "1101011010111", "1011101101011", "1111000111101")
 SPAN, LEAST, PENALTY = 13, 13, 3
 #: Words of a block of the benchmark: about 100 MB of seeds and item words in a task.
 BLOCK_WORDS = 1_000_000
-REMEMBERED = 400_000
+#: Words with other than ASCII characters that a worker remembers in each of two generations.
+REMEMBERED = 40_000
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 SCHEMA = "doc_id long, item_id long, doc_start int, item_start int, n_words int, n_substituted int"
 
 
@@ -53,21 +54,37 @@ def normal(word: bytes) -> str:
 
 @lru_cache(maxsize=1)
 def _memo() -> Memo:
-    """Hash of the normal form of a word, None for none; by the hash of its bytes."""
-    return Memo(lambda pairs: [xxhash.xxh3_64_intdigest(n.encode()) or 1 if (n := normal(w)) else 0 for w in pairs], REMEMBERED)
+    """Hash of the normal form of a word with other than ASCII characters, 0 for none."""
+
+    def learn(found: list[bytes]) -> list[int]:
+        forms = [normal(w) for w in found]
+        h = iter(_never_zero(W.words(pa.array([n for n in forms if n], pa.large_string()), fold=True).hash).tolist())
+        return [next(h) if n else 0 for n in forms]
+
+    return Memo(learn, REMEMBERED)
+
+
+def _never_zero(h: np.ndarray) -> np.ndarray:
+    return np.maximum(h, np.uint64(1))
 
 
 def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the normal words of all texts, one after the other, and the bounds of each text."""
-    w = W.words(texts)
-    raw = w.data.tobytes()
-    all_words = raw.split() if not len(w.bounds) > 2 else None
-    if all_words is None or len(all_words) != len(w.start):
-        all_words = [raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-    h = np.fromiter(_memo().get(all_words), dtype=np.uint64, count=len(all_words))
-    some = h != 0
-    kept = np.append(0, np.cumsum(some))
-    return h[some], kept[w.first]
+    """Hashes of the normal words of all texts, one after the other, and the bounds of each text.
+
+    ASCII words are trimmed and folded as byte ranges; the few others by their characters.
+    """
+    w = W.words(texts, fold=True)
+    inside = np.flatnonzero(_ALNUM[w.data])
+    first, last = np.searchsorted(inside, w.start), np.searchsorted(inside, w.end)
+    some = first < last
+    trimmed = W.Words(w.data, w.bounds, w.start.copy(), w.end.copy(), True)
+    trimmed.start[some], trimmed.end[some] = inside[first[some]], inside[last[some] - 1] + 1
+    h = np.where(some, _never_zero(trimmed.hash), np.uint64(0)) if len(w.start) else np.zeros(0, np.uint64)
+    wide = np.append(0, np.cumsum(w.data >= 128))
+    other = np.flatnonzero(wide[w.end] > wide[w.start])
+    h[other] = np.fromiter(_memo().get([w.word(i) for i in other.tolist()]), dtype=np.uint64, count=len(other))
+    kept = np.append(0, np.cumsum(h != 0))
+    return h[h != 0], kept[w.first]
 
 
 def seeds(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

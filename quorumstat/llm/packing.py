@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import store
+
 #: Characters outside the scripts in which both tokenizer libraries are known to agree.
 _RARE = re.compile("[^\t\n\r -~\u00a0-\u024f\u0400-\u045f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 #: The same for texts whose characters all have one byte in Latin-1.
@@ -150,9 +152,10 @@ def split(docs: DataFrame, tokenizer: str, longest: int = 1024, end_id: int = 0,
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = 1024, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece, which is a sequence of its own at offset 0, in the bucket of its length."""
-    p = split(docs, tokenizer, longest, end_id, key, text)
     kept = ["doc_id", "start", "length", *["ids"] * with_ids, "ids_crc32", "doc_tokens"]
-    return number(p.select(*kept)).withColumns({"length": F.col("length").cast("long"), "offset": F.lit(0).cast("long")}).select(
+    # Counted and numbered from the written pieces, so that a text is encoded once.
+    p = store.keep(split(docs, tokenizer, longest, end_id, key, text).select(*kept), "pieces")
+    return number(p).withColumns({"length": F.col("length").cast("long"), "offset": F.lit(0).cast("long")}).select(
         "doc_id", "start", "length", *["ids"] * with_ids, "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

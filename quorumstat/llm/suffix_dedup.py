@@ -47,7 +47,7 @@ OFFSET = 50
 BLOCK_BYTES = 8 << 20
 PIECE = 1 << 20
 #: A sample in more blocks than this has its runs split.
-SPLIT = 256
+SPLIT = 32
 
 
 @dataclass
@@ -349,7 +349,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
-s as (select rid, doc_id, p, md5(substr(x, 2 * p + 1, 200)) as w from (select rid, doc_id, x, unnest(range(greatest(len(x) // 2 - 99, 0))) as p from d)),
+b as (select rid, doc_id, z, substr(x, 2 * z + 1, 1198) as x from (select rid, doc_id, x, unnest(range(0, greatest(len(x) // 2 - 99, 0), 500)) as z from d)),
+s as (select rid, doc_id, z + p as p, md5(substr(x, 2 * p + 1, 200)) as w from (select rid, doc_id, z, x, unnest(range(len(x) // 2 - 99)) as p from b)),
 f as (select w, min(doc_id) as least from s group by w having count(*) > 1),
 o as (select rid, w, min(p) as p from s join f using (w) group by rid, w),
 c as (select s.rid, s.p from s join f using (w) join o on o.rid = s.rid and o.w = s.w where f.least < s.doc_id or o.p < s.p),

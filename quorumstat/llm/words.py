@@ -37,7 +37,7 @@ def _power(name: str, root: int, n: int) -> np.ndarray:
         p = np.ones(1, dtype=np.uint64)
     while len(p) < n:
         p = np.concatenate([p, p * np.uint64(pow(root, len(p), 1 << 64))])
-    if len(p) <= 4 * SLICE_BYTES:
+    if len(p) <= 2 * SLICE_BYTES:
         _powers[name] = p
     return p[:n]
 

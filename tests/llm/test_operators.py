@@ -165,6 +165,13 @@ def test_encoder_equals_the_tokenizer(t):
     assert e.ids(t).tolist() == e.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space(spark):
+    t = ["a" + c * 1_200_000 + "b" for c in " \n"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), packing.vocabulary(), with_ids=False).groupBy("doc_id").agg(F.max("doc_tokens")).collect()
+    enc = packing.encoder(packing.vocabulary())
+    assert {r[0]: r[1] for r in got} == {i: len(enc.tok.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(t)}
+
+
 def test_token_counts_and_their_cache(spark, docs, rows, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -241,6 +248,14 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(d, b.limit(0)).count() == 0
 
 
+def test_normal_words_by_byte_ranges(rows):
+    texts = [t for _, t in rows] + ["“Hello” HELLO hello, ¡Ünder! ünder -- ... a--b A--B 日本、 İx x\u0301 ½ _a_ 1.5"]
+    h, bounds = decontaminate.hashes(pa.array(texts))
+    want = [n for t in texts for w in SPACE.findall(t or "") if (n := decontaminate.normal(w.encode()))]
+    assert len(h) == len(want) == bounds[-1]
+    assert len(set(h.tolist())) == len(set(want)) == len(set(zip(h.tolist(), want, strict=True)))
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -392,7 +407,7 @@ def test_queries_are_registered():
     from __spark_entry__ import oracle_sql, queries
 
     ops = {int(re.match(r"op(\d+)_", q)[1]) for q in queries() if q.startswith("op")}
-    assert "pipeline" in queries() and ops == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert "pipeline" in queries() and ops == set(range(1, 14)) and set(oracle_sql()) <= set(queries())
 
 
 def test_digest_of_kept_words(spark):
