@@ -192,10 +192,10 @@ def scores(model, packed: DataFrame) -> DataFrame:
     return model.transform(packed).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", model=None, limits: dict[str, float] | None = None, out: str = "pii", found: DataFrame | None = None) -> DataFrame:
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", model=None, limits: dict[str, float] | None = None, out: str = "pii", found: DataFrame | None = None, meet: str | None = None) -> DataFrame:
     """All columns of docs and a struct: spans (kind, start, end; kinds as listed, then start), base (the base ones alone).
 
-    ``found`` is the judged table of docs, if there is one already.
+    ``found`` is the judged table of docs, if there is one already; ``meet`` a join strategy.
     """
     found = judged(docs, key, text, model if limits else None) if found is None else found
     enough = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(v))) for k, v in sorted((limits or {}).items())], F.lit(NEVER))
@@ -204,6 +204,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", model=None,
     per = base.groupBy("_key", "_hash").agg(F.array_sort(F.collect_list(F.struct(no.alias("no"), "start", "end", "kind"))).alias("_spans"))
     (h,) = store.fresh(docs, "_text_hash")
     keyed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    per = per.hint(meet) if meet else per
     joined = keyed.join(per, keyed[key].eqNullSafe(per["_key"]) & (keyed[h] == per["_hash"]), "left")
     none = F.array().cast("array<struct<no:bigint,start:bigint,end:bigint,kind:string>>")
     all_spans = F.coalesce(per["_spans"], none)
@@ -234,17 +235,17 @@ def redact(docs: DataFrame, text: str = "text", found: str = "pii") -> DataFrame
     return docs.withColumn(text, F.when(F.size(f"{found}.spans") > 0, new).otherwise(F.col(text)))
 
 
-def fit_and_detect(docs: DataFrame, out: str = "pii") -> DataFrame:
+def fit_and_detect(docs: DataFrame, out: str = "pii", meet: str | None = None) -> DataFrame:
     """As fit and detect, with the texts scanned once for both."""
     model = train(docs)
     found = store.keep(judged(docs, model=model), "pii-judged")
-    return detect(docs, limits=calibrate(found), out=out, found=found)
+    return detect(docs, limits=calibrate(found), out=out, found=found, meet=meet)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data in the texts is replaced; n_chars follows; no document goes."""
     (out,) = store.fresh(docs, "_pii")
-    new = redact(fit_and_detect(docs, out), found=out)
+    new = redact(fit_and_detect(docs, out, "merge"), found=out)  # spans grow with the documents: never sent to all tasks
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return new.select(*map(F.col, store.named(docs)))
