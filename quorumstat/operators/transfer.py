@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import u01, with_row
 from .neighbours import knn
-from .ordered import keyed_order, row_numbers
+from .ordered import keyed_order, meet, row_numbers
 from .stats import spearman
 from .vectors import doubles
 
@@ -36,12 +36,86 @@ def group_folds(df: DataFrame, group: str, k: int, seed) -> DataFrame:
     return r.select(group, F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
 
 
-def folds(df: DataFrame, how: str, k: int, key: str, label: str | None = None, seed="fold") -> DataFrame:
-    """M2: ``stratified`` deals rows inside each label, ``shuffled`` all rows,
-    ``leave_one_category_out`` makes every label value a fold."""
+def class_vectors(df: DataFrame, group: str, label: str) -> DataFrame:
+    """(group, _v): rows of each class in every group, classes in order; a null label is a class.
+
+    The class list is a model-sized table; more than 1,000 classes are an error.
+    """
+    names = [r[0] for r in df.select(label).distinct().orderBy(F.col(label).asc_nulls_first()).limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError(f"{label} has more than 1000 classes")
+    no = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(n)), F.lit(i)) for i, n in enumerate(names)], F.lit(-1)).alias("_c")
+    cells = df.select(group, no).groupBy(group, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    held = cells.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_n"))).alias("_m"))
+    vector = F.array(*[F.coalesce(F.element_at("_m", F.lit(i)), F.lit(0).cast("long")) for i in range(len(names))]) if names else F.array().cast("array<bigint>")
+    return held.select(group, vector.alias("_v"))
+
+
+def coarse(n: Column) -> Column:
+    """Counts below 16 as they are, others by their four leading bits: at most 16 + 8 * 60 values."""
+    low = F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int") - 3, F.lit(0))
+    return F.concat_ws("x", F.floor(n / F.pow(F.lit(2.0), low)).cast("string"), low.cast("string"))
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed) -> DataFrame:
+    """M2: (group, fold): whole groups, class shares alike in all folds.
+
+    Groups of (nearly) equal class counts are exchangeable: they are dealt in a snake, k at a
+    time, largest first. What is left, fewer than k groups of each kind of counts, fills the
+    folds one by one, largest first: a group goes to the fold whose classes it shares are
+    emptiest, which keeps the variance of the class shares over the folds least. The kinds
+    number at most ``coarse`` values to the power of the classes, whatever the number of groups,
+    and they alone are filled in one task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    g = class_vectors(df, group, label)
+    g = g.withColumns({"_n": F.aggregate("_v", F.lit(0).cast("long"), lambda a, x: a + x), "_u": u01(seed, group), "_kind": F.concat_ws(",", F.transform("_v", coarse))})
+    g = row_numbers(g.withColumn("_o", -F.col("_n")), ["_kind"], ["_o", "_u", group], F.col("_o") + F.col("_u"), "_rn")
+    kinds = g.groupBy("_kind").agg(F.count(F.lit(1)).alias("_k"))
+    g = g.join(kinds, "_kind").withColumn("_i", F.col("_rn") - 1)
+    turn, at = F.floor(F.col("_i") / k), F.col("_i") % k
+    g = g.withColumn("fold", F.when(F.col("_i") < F.col("_k") - F.col("_k") % k, F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int")))
+    dealt = g.filter("fold is not null")
+    loads = dealt.select("fold", F.posexplode("_v").alias("_c", "_x")).groupBy("fold", "_c").agg(F.sum("_x").alias("_x"))
+    name, kind = F.col(group).alias(group), g.schema[group].dataType.simpleString()
+    left = g.filter("fold is null").select(name, "_v", "_n", "_u", F.lit(-1).alias("fold"))
+    base = loads.groupBy("fold").agg(F.sort_array(F.collect_list(F.struct("_c", "_x"))).alias("_l")).select(
+        F.lit(None).cast(kind).alias(group), F.transform("_l", lambda x: x["_x"]).alias("_v"), F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_u"), "fold")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(pdf["_v"].tolist(), dtype=float).reshape(len(pdf), -1)
+        fold = pdf["fold"].to_numpy()
+        total = np.maximum(v.sum(axis=0), 1.0)
+        load = np.zeros((k, v.shape[1]))
+        load[fold[fold >= 0]] = v[fold >= 0]
+        rows = np.flatnonzero(fold < 0)
+        names = pdf[group].tolist()
+        rows = sorted(rows.tolist(), key=lambda r: (-pdf["_n"].iat[r], pdf["_u"].iat[r], names[r] is not None, names[r]))
+        out = []
+        for r in rows:
+            score = np.round(((load * v[r]) / total**2).sum(axis=1), 12)
+            best = min(range(k), key=lambda f: (score[f], load[f].sum(), f))
+            load[best] += v[r]
+            out.append(best)
+        return pd.DataFrame({group: pd.Series([names[r] for r in rows], dtype=object), "fold": pd.Series(out, dtype="int32")})
+
+    filled = left.unionByName(base).groupBy().applyInPandas(fill, f"`{group}` {kind}, fold int")
+    return dealt.select(group, "fold").unionByName(filled)
+
+
+def folds(df: DataFrame, how: str, k: int, key: str, label: str | None = None, seed="fold", group: str | None = None) -> DataFrame:
+    """M2: ``stratified`` deals rows inside each label (with ``group``: whole groups, see
+    ``stratified_group_folds``), ``shuffled`` all rows, ``leave_one_category_out`` makes every
+    label value a fold."""
     if how == "leave_one_category_out":
         names = df.agg(F.sort_array(F.collect_set(label)).alias("_l"))  # the categories
         return with_row(df, names).withColumn("fold", (F.array_position("_l", F.col(label)) - 1).cast("int")).drop("_l")
+    if group is not None:
+        if how != "stratified":
+            raise ValueError("group needs stratified folds; group_folds deals groups without labels")
+        return meet(df, stratified_group_folds(df, group, label, k, seed), [group], "inner")
     by = [label] if how == "stratified" else []
     r = keyed_order(df, by, u01(seed, key), key, "_rn")
     return r.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")

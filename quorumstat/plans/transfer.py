@@ -38,6 +38,32 @@ def _(t):
     return tr.folds(t.labels, "stratified", 5, "doc_id", "quality", "m2").select("doc_id", "quality", "fold")
 
 
+def group_fill(src, group, label, classes, k, seed):
+    """Kinds of class counts dealt in a snake, the rest by recursion, largest first."""
+    cs = range(len(classes))
+    low = "greatest(floor(log2(greatest({v}, 1)::double))::int - 3, 0)"
+    v = [f"count(*) filter ({label} = '{c}') as v{i}" for i, c in enumerate(classes)]
+    kind = " || ',' || ".join(f"((v{i} >> {low.format(v=f'v{i}')}) || 'x' || {low.format(v=f'v{i}')})" for i in cs)
+    score = " + ".join(f"load[f * {len(classes)} + {i + 1}] * v{i} / (t{i} * t{i})" for i in cs)
+    full = " + ".join(f"load[f * {len(classes)} + {i + 1}]" for i in cs)
+    return f"""g as (select {group}, count(*) as n, {U(seed, group)} as u, {', '.join(v)} from {src} group by 1),
+ kk as (select *, {kind} as kind from g),
+ rk as (select *, row_number() over (partition by kind order by n desc, u, {group}) - 1 as i, count(*) over (partition by kind) as m from kk),
+ dealt as (select *, (case when (i // {k}) % 2 = 0 then i % {k} else {k} - 1 - i % {k} end)::int as fold from rk where i < m - m % {k}),
+ lefts as (select *, row_number() over (order by n desc, u, {group}) as s from rk where i >= m - m % {k}),
+ tot as (select {', '.join(f'greatest(sum(v{i}), 1)::double as t{i}' for i in cs)} from g),
+ slot as (select f, c, coalesce((select sum(case c {' '.join(f'when {i} then v{i}' for i in cs)} end) from dealt where fold = f), 0)::double as x from (select unnest(range({k})) as f), (select unnest(range({len(classes)})) as c)),
+ fill(s, {group}, fold, load) as (select 0::bigint, null::bigint, null::int, (select list(x order by f, c) from slot)
+  union all select s, {group}, best, [case when j // {len(classes)} = best then load[j + 1] + case j % {len(classes)} {' '.join(f'when {i} then v{i}' for i in cs)} end else load[j + 1] end for j in range({k * len(classes)})] from (
+   select l.*, load, list_sort([{{'a': round({score}, 12), 'b': {full}, 'c': f::int}} for f in range({k})])[1].c as best from fill join lefts l on l.s = fill.s + 1, tot)),
+ folds as (select {group}, fold from dealt union all select {group}, fold from fill where s > 0)"""
+
+
+@query("M2_folds_stratified_groups", f"""with recursive {group_fill('orders', 'o_custkey', 'o_orderstatus', 'FOP', 5, 'm2g')} select o_orderkey, o_custkey, fold from orders join folds using (o_custkey)""")
+def _(t):
+    return tr.folds(t.orders, "stratified", 5, "o_orderkey", "o_orderstatus", "m2g", "o_custkey").select("o_orderkey", "o_custkey", "fold")
+
+
 @query("M2_folds_shuffled", f"""select o_orderkey, ((row_number() over (order by {U('m2s', 'o_orderkey')}, o_orderkey) - 1) % 5)::int as fold from orders""")
 def _(t):
     return tr.folds(t.orders, "shuffled", 5, "o_orderkey", seed="m2s").select("o_orderkey", "fold")
