@@ -301,7 +301,20 @@ def _(t):
     return rounded(rs.mismatch_null(d, "user_id", "idx", "k", "value", 10, "i12", "own", "owner"), "obs", "null_mean", "null_sd", "p")
 
 
-@query("I13_phase_null")
+def phase_sql(reps, seed):
+    """Transform, turned frequencies and the way back as sums over (time, frequency)."""
+    angle = "2 * pi() * ((t * f) % n) / n"
+    return f"""with {EV}, {IX}, s as (select user_id, idx as t, k::double as x, value as y, count(*) over (partition by user_id) as n from ix),
+ fr as (select user_id, n, unnest(range(n)) as f from (select distinct user_id, n from s)),
+ sp as (select user_id, n, f, sum(x * cos({angle})) as re, -sum(x * sin({angle})) as im from s join fr using (user_id, n) group by 1, 2, 3),
+ ph as (select user_id, n, f, rep, re, im, sqrt(re * re + im * im) as a, 2 * pi() * {U(seed, 'user_id', 'rep', 'least(f, n - f)')} * case when 2 * f < n then 1 else -1 end as u from sp, {REPS(reps)}),
+ tu as (select user_id, n, f, rep, case when f = 0 or 2 * f = n then re else a * cos(u) end as re, case when f = 0 or 2 * f = n then im else a * sin(u) end as im from ph),
+ m as (select user_id, rep, t, round(sum(re * cos({angle}) - im * sin({angle})) / any_value(n), 9) as x, any_value(y) as y from tu join s using (user_id, n) group by 1, 2, 3),
+ {sp_cte('s1', 'm', 'rep, user_id', 'x', 'y')}, n as (select rep, avg(rho) as v from s1 group by 1), {sp_cte('so', 's', 'user_id', 'x', 'y')}, o as (select avg(rho) as obs from so) """ + perm_sql(
+        "o", "n", f"abs(v - (select quantile_cont(v, 0.5) from n)) >= abs(obs - (select quantile_cont(v, 0.5) from n)) - {EPS}")
+
+
+@query("I13_phase_null", phase_sql(10, "i13"))
 def _(t):
     d = series(t).select("user_id", "idx", F.col("k").cast("double").alias("k"), "value")
     return rounded(rs.phase_null(d, "user_id", "idx", "k", "value", 10, "i13"), "obs", "null_mean", "null_sd", "p")
