@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import r6
+from ..operators import additive as ad
 from ..operators import linear as ln
 from ..operators import transfer as tr
 from .registry import EV, R, U, query
@@ -122,6 +123,35 @@ def _(t):
     return rounded(tr.binned_effect(t.orders, "o_totalprice", "o_custkey", "o_orderkey", 10), "x_mean", "y_mean")
 
 
+def boost_sql(dim, bins, rounds, rate):
+    """Pairs of bins counted by a join, the rounds by recursion over (round, feature)."""
+    c = dim * bins
+    edges = ", ".join(str(i / bins) for i in range(1, bins))
+    return f"""with recursive e as (select vec_id, embedding[64]::double as y, i, embedding[i + 1]::double as x from embeddings, (select unnest(range({dim})) as i)),
+ q as (select i, quantile_cont(x, [{edges}]) as es from e group by 1), b as (select vec_id, y, i * {bins} + len(list_filter(es, lambda v: v < x)) as c from e join q using (i)),
+ cs as (select unnest(range({c})) as c), g as (select p.c as c, r.c as d, count(*)::double as n from b p join b r using (vec_id) group by 1, 2),
+ gm as (select list(coalesce(n, 0) order by x.c, z.c) as g from cs x cross join cs z left join g on g.c = x.c and g.d = z.c),
+ sm as (select list(coalesce(s, 0) order by c) as s, list(coalesce(n, 0)::double order by c) as n from cs left join (select c, sum(y) as s, count(*) as n from b group by 1) using (c)),
+ m as (select avg(y) as mean from (select distinct vec_id, y from b)),
+ st(k, sh) as (select 0, [0.0::double for j in range({c})] union all
+  select k + 1, [case when j // {bins} = k % {dim} then sh[j + 1] + {rate} * coalesce((s[j + 1] - mean * n[j + 1] - list_sum([g[j * {c} + l + 1] * sh[l + 1] for l in range({c})])) / nullif(n[j + 1], 0), 0) else sh[j + 1] end for j in range({c})]
+  from st, gm, sm, m where k < {dim * rounds}),
+ fin as (select unnest(range({c})) as c, unnest(sh) as sh, unnest(n) as n from st, sm where k = {dim * rounds}),
+ ct as (select c // {bins} as f, sum(sh * n) / sum(n) as o from fin group by 1),
+ sh as (select f::int as feature, (c % {bins})::int as bin, n::bigint as n, sh - o as shape, mean + (select sum(o) from ct) as intercept from fin join ct on f = c // {bins}, m)"""
+
+
+@query("M33_boosted_shapes", f"""{boost_sql(5, 4, 30, 0.2)} select feature, bin, n, {R('shape')} as shape, {R('intercept')} as intercept from sh""")
+def _(t):
+    s = ad.additive_shapes(vecs(t), "v", 5, "y", 4, 30, 0.2)
+    return rounded(s.select("feature", "bin", "n", "shape", "intercept"), "shape", "intercept")
+
+
+@query("M33_shape_importance", f"""{boost_sql(5, 4, 30, 0.2)} select feature, {R('sum(abs(shape) * n) / sum(n)')} as importance from sh group by 1""")
+def _(t):
+    return rounded(ad.shape_importance(ad.additive_shapes(vecs(t), "v", 5, "y", 4, 30, 0.2)), "importance")
+
+
 # ridge by Gram matrices ---------------------------------------------------------
 
 @query("M11_ridge_cv")
