@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import r6
+from ..operators import attribution as at
 from ..operators import linear as ln
 from ..operators import models as md
 from .registry import query
@@ -74,6 +75,14 @@ def _(t):
     return rounded(md.perm_importance(m, d.filter("fold = 0").select("vec_id", "v", "y"), "vec_id", "v", 63, 2, "m24"), "importance", "rho_full")
 
 
+@query("M24_tree_attributions")
+def _(t):
+    d = ml(t)
+    train, test = d.filter("fold <> 0"), d.filter("fold = 0")
+    m = md.fit(train, "boosting", trees=20)
+    return rounded(at.attribution_summary(at.tree_attributions(m, test.select("vec_id", "v"), train, "v", 63)), "importance", "mean_effect")
+
+
 @query("M25_feature_significance")
 def _(t):
     return rounded(md.feature_significance(ml(t), "vec_id", ["forest", "boosting"], 3, "m25", 0.3, trees=4, depth=3), "observed", "null_mean", "p")
