@@ -374,6 +374,34 @@ def _(t):
     return rounded(st.with_p(d), "u", "z", "p")
 
 
+#: Null counts by recursion over the ranks; the two-sided p of a rank sum.
+SIGNED_NULL = """sr(n, l) as (select 0, [1.0::double] union all
+ select n + 1, [case when i < len(l) then l[i + 1] else 0 end + case when i > n then l[i - n] else 0 end for i in range(len(l) + n + 1)] from sr where n < 50)"""
+CHOICE_NULL = """rs(r, l) as (select 0, [case when i = 0 then 1.0::double else 0 end for i in range(9 * 5051)] union all
+ select r + 1, [l[i + 1] + case when i >= 5052 + r then l[i + 1 - 5052 - r] else 0 end for i in range(9 * 5051)] from rs where r < 100)"""
+
+
+@query("I16_wilcoxon_exact", f"""with recursive {EV}, {SIGNED_NULL}, d as (select user_id, k, value - 50 as d from ev),
+ r as (select user_id, k, d, rank() over (partition by user_id, k order by abs(d)) as r from d where d <> 0),
+ s as (select user_id, k, count(*) as n, count(distinct abs(d)) as apart, sum(case when d > 0 then r else 0 end) as w from r group by 1, 2),
+ z as (select user_id, k, count(*) filter (d = 0) as zero from d group by 1, 2)
+ select user_id, k, s.n, case when zero = 0 and apart = s.n and s.n <= 50 then {R('least(1, 2 * list_sum(l[1:(least(w, s.n * (s.n + 1) // 2 - w) + 1)::int]) / list_sum(l))')} end as p_exact from s join z using (user_id, k) left join sr on sr.n = s.n""")
+def _(t):
+    d = t.ratings.select("user_id", "k", (F.col("value") - 50).alias("d"))
+    return rounded(rs.wilcoxon_exact(d, ["user_id", "k"], "d").select("user_id", "k", "n", "p_exact"), "p_exact")
+
+
+@query("I17_mannwhitney_exact", f"""with recursive {EV}, {CHOICE_NULL}, v as (select user_id, value, event_type = 'purchase' as f from ev),
+ r as (select *, rank() over (partition by user_id order by value) as r from v),
+ s as (select user_id, count(*) filter (f) as n1, count(*) filter (not f) as n0, count(distinct value) as apart, sum(r) filter (f) as rsum from r group by 1),
+ u as (select *, least(n1, n0) as m, case when apart = n1 + n0 and least(n1, n0) between 1 and 8 and n1 + n0 <= 100 then rsum - n1 * (n1 + 1) // 2 end as u from s),
+ c as (select user_id, n1, n0, u, m, l[(m * 5051 + m * (m + 1) // 2 + 1)::int:(m * 5051 + m * (m + 1) // 2 + n1 * n0 + 1)::int] as l from u left join rs on rs.r = n1 + n0 and u is not null)
+ select user_id, n1, n0, case when l is not null then {R('least(1, 2 * list_sum(l[1:(least(u, n1 * n0 - u) + 1)::int]) / list_sum(l))')} end as p_exact from c""")
+def _(t):
+    d = t.ratings.select("user_id", "value", (F.col("event_type") == "purchase").alias("f"))
+    return rounded(rs.mannwhitney_exact(d, ["user_id"], "value", "f").select("user_id", "n1", "n0", "p_exact"), "p_exact")
+
+
 @query("I18_pooled_vs_unit", f"""with {EV}, md as (select user_id, quantile_cont(k, 0.5) as u, (select quantile_cont(k, 0.5) from ev) as g from ev group by 1),
  s as (select user_id, k > g as hg, k > u as hw, unnest(['hour', 'value']) as feature, unnest([round(sec / 3600, 6) % 24, value]) as x from ev join md using (user_id)),
  {mw_sql('s', 'feature', 'x', 'hg', 'ma')}, {mw_sql('s', 'feature', 'x', 'hw', 'mb')},
