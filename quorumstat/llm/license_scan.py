@@ -96,6 +96,8 @@ class Rule:
     priority: int
     score: float
     base: bool = False
+    #: Word sequences of which every match has one; no regex runs without it.
+    needs: tuple[str, ...] = ()
 
 
 def _seq(words: str) -> str:
@@ -150,15 +152,16 @@ BY_ID = ("tag", "address", "label")
 
 def rules() -> list[Rule]:
     """Families times templates, notices and base phrases: some 600 rules, one for each keyword of the alternatives."""
-    out = [Rule(f"base.{k}", k, key, _seq(p), 4, 0.8, True) for k, key, p in BASE]
-    out += [Rule(f"notice.{i}", k, key, _seq(p), 2, 0.9 if k != "proprietary" else 0.5) for i, (k, key, p) in enumerate(NOTICES)]
+    out = [Rule(f"base.{k}", k, key, _seq(p), 4, 0.8, True, (_seq(p),)) for k, key, p in BASE]
+    out += [Rule(f"notice.{i}", k, key, _seq(p), 2, 0.9 if k != "proprietary" else 0.5, needs=(_seq(p),)) for i, (k, key, p) in enumerate(NOTICES)]
     seen = set()
     for i, (label, key, names, ids) in enumerate(FAMILIES):
         made = []
         for t, make, pri, score in TEMPLATES:
             for word, phrases in _by_keyword(ids if t in BY_ID else names, key).items():
-                made.append(Rule(f"{t}.{i}" + f".{word}" * (word != key), label, word, make(phrases, phrases), pri, score))
-        made += [Rule(f"{t}.{i}", label, word, make(_glued(ids)), pri, score) for t, word, make, pri, score in GLUED]
+                made.append(Rule(f"{t}.{i}" + f".{word}" * (word != key), label, word, make(phrases, phrases), pri, score, needs=tuple(map(_seq, phrases.split("|")))))
+        stems = tuple(_seq(p)[:-1] for p in ids.split("|"))
+        made += [Rule(f"{t}.{i}", label, word, make(_glued(ids)), pri, score, needs=stems) for t, word, make, pri, score in GLUED]
         out += [r for r in made if (r.label, r.pattern) not in seen]
         seen |= {(r.label, r.pattern) for r in made}
     return out
@@ -178,10 +181,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", own: list[Rul
     """All columns of docs and a struct: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     own = rules() if own is None else own
     table = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.name).alias("name"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"),
-                               F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.base).alias("base")) for r in own])
+                               F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.base).alias("base"),
+                               F.array(*map(F.lit, r.needs)).cast("array<string>").alias("needs")) for r in own])
     whole = F.coalesce(F.col(text), F.lit(""))
     gated = docs.filter(F.col(text).rlike(GATE)).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), as_words(whole).alias("_words"))
-    near = gated.select("_key", "_hash", "_words", F.explode(F.filter(table, lambda r: F.contains(F.col("_words"), F.concat(F.lit(" "), r["keyword"], F.lit(" "))))).alias("_rule"))
+    has = lambda s: F.contains(F.col("_words"), s)
+    may = lambda r: has(F.concat(F.lit(" "), r["keyword"], F.lit(" "))) & ((F.size(r["needs"]) == 0) | F.exists(r["needs"], has))
+    near = gated.select("_key", "_hash", "_words", F.explode(F.filter(table, may)).alias("_rule"))
+    near = near.withColumn("_rule", F.col("_rule").dropFields("needs"))
     found = near.select("_key", "_hash", "_rule", spans.parts(F.col("_words"), F.col("_rule.pattern"), n_words).alias("_parts")).filter(F.size("_parts") > 0)
     spots = spans.places(found.repartition("_key", "_hash"), ["_key", "_hash"], "_rule", "_parts", n_words).select(
         "_key", "_hash", "_rule.name", "_rule.label", "_rule.priority", "_rule.score", "_rule.base", "start", "end")
