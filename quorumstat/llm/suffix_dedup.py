@@ -47,7 +47,7 @@ OFFSET = 50
 BLOCK_BYTES = 8 << 20
 PIECE = 1 << 20
 #: A sample in more blocks than this has its runs split.
-SPLIT = 32
+SPLIT = 256
 
 
 @dataclass
