@@ -8,7 +8,7 @@ and a substitution -3, is an overlap if it has 13 words or more.
 
 Words are lower-cased and freed of punctuation at their ends; a word of punctuation alone is
 no word. Items and documents with fewer than 13 words overlap with nothing, nor do null and
-empty texts. Repeated items and documents are found like any other; an empty benchmark or
+empty texts. An item with a null id counts like any other. Repeated items and documents are found like any other; an empty benchmark or
 corpus gives no overlap.
 
 The benchmark is handled in blocks of a bounded number of words, each sent to all tasks
@@ -117,7 +117,7 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
 class Block:
     """Items of the benchmark with their sorted seeds."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array):
+    def __init__(self, ids: list, texts: pa.Array):
         self.ids = ids
         self.h, self.bounds = hashes(texts)
         key, at = seeds(self.h, self.bounds)
@@ -149,22 +149,22 @@ class Block:
             same = h[a:b] == self.h[a - shift : b - shift]
             frm, to = best_stretch(same)
             if to - frm >= LEAST:
-                out.append((docs[d], int(self.ids[i]), int(a + frm - bounds[d]), int(a + frm - shift - self.bounds[i]), to - frm, int((~same[frm:to]).sum())))
+                out.append((docs[d], self.ids[i], int(a + frm - bounds[d]), int(a + frm - shift - self.bounds[i]), to - frm, int((~same[frm:to]).sum())))
         return out
 
 
-def blocks(benchmark: DataFrame, key: str, text: str, most: int) -> Iterator[tuple[np.ndarray, list]]:
+def blocks(benchmark: DataFrame, key: str, text: str, most: int) -> Iterator[tuple[list, list]]:
     """The benchmark a block at a time; the driver never holds more than one."""
     ids, texts, n = [], [], 0
-    for i, t in benchmark.select(F.col(key).cast("long"), text).filter(F.col(key).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
+    for i, t in benchmark.select(F.col(key).cast("long"), text).filter(F.col(text).isNotNull()).toLocalIterator():
         ids.append(i)
         texts.append(t)
         n += len(t.split())
         if n >= most:
-            yield np.array(ids), texts
+            yield ids, texts
             ids, texts, n = [], [], 0
     if ids:
-        yield np.array(ids), texts
+        yield ids, texts
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -236,7 +236,7 @@ def test_decontamination(spark):
     swapped = " ".join("WRONG" if k in (3, 11) else x for k, x in enumerate(w))
     rows = [(1, "start " + item.upper() + " end"), (2, "a b c " + swapped), (3, "nothing of the kind here at all, only other words in a row of some length"), (4, None), (5, ""), (6, " ".join(w[:12])),
             (7, item), (7, item), (8, "-- " + " - ".join(w)), (9, " ".join("no" if k % 2 else x for k, x in enumerate(w)))]
-    items = [(1, item), (2, " ".join(w[2:])), (3, "too short"), (4, None), (5, item)]
+    items = [(1, item), (2, " ".join(w[2:])), (3, "too short"), (4, None), (5, item), (None, item)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = brute_overlaps(rows, items)
