@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import r4, r6
+from ..operators import recursive as rc
 from ..operators import timeline as tl
 from .registry import CORR, EV, OL, R, R4, RANK, query
 from .stats import rounded, sp_cte
@@ -92,6 +93,38 @@ def _(t):
     return rounded(d.select("event_id", "tonic", "phasic"), "tonic", "phasic")
 
 
+def zero_phase_sql(b, a, out):
+    """Twin of a filter of order 2: both runs as recursions over all series at once."""
+    gain = sum(b) / sum(a)
+    r2 = b[2] - a[2] * gain
+    r1 = b[1] - a[1] * gain + r2
+    b0, b1, b2, a1, a2, r1, r2 = (f"({v!r})::double" for v in (*b, *a[1:], r1, r2))
+
+    def run(name, src, first, step):
+        y = f"{b0} * e.v + f.s1"
+        y0 = f"({b0} * v + {r1} * v)"
+        return f"""{name} as (select user_id, idx, {y0} as v, {b1} * v - {a1} * {y0} + {r2} * v as s1, {b2} * v - {a2} * {y0} as s2 from {src} where idx = {first}
+ union all select e.user_id, e.idx, {y}, {b1} * e.v - {a1} * ({y}) + f.s2, {b2} * e.v - {a2} * ({y}) from {name} f join {src} e on e.user_id = f.user_id and e.idx = f.idx + {step})"""
+
+    return f"""with recursive {EV}, {IDX}, n as (select user_id, max(idx) as m from ix group by 1 having max(idx) > 8),
+ x as (select user_id, idx, m, value::double as v from ix join n using (user_id)),
+ ext as (select user_id, idx, m, v from x
+ union all select o.user_id, -p.idx, o.m, 2 * o.v - p.v from x o join x p on p.user_id = o.user_id and p.idx between 1 and 9 where o.idx = 0
+ union all select o.user_id, 2 * o.m - p.idx, o.m, 2 * o.v - p.v from x o join x p on p.user_id = o.user_id and p.idx between p.m - 9 and p.m - 1 where o.idx = o.m),
+ {run('fw', 'ext', '-9', '1')}, mid as (select fw.user_id, fw.idx, n.m, fw.v from fw join n using (user_id)), {run('bw', 'mid', 'm + 9', '-1')}
+ {out}"""
+
+
+HIGH = rc.butter(2, 0.05, 1.0, "high")
+
+
+@query("W10_zero_phase", zero_phase_sql(*HIGH, f"""select ix.event_id, {R('bw.v')} as phasic, {R('ix.value - bw.v')} as tonic
+ from ix left join bw on bw.user_id = ix.user_id and bw.idx = ix.idx"""))
+def _(t):
+    d = rc.slow_fast(series(t), ["user_id"], "idx", "value", 0.05, 1.0, keep=("event_id",))
+    return rounded(d.select("event_id", "phasic", "tonic"), "phasic", "tonic")
+
+
 @query("W11_peak_rate", f"""with {EV}, m as (select a.user_id, a.event_id, any_value(a.value) as v, max(b.value) as mx, any_value(a.sec) as sec {LOCAL.format(h=43200)} group by 1, 2)
  select user_id, count(*) filter (v >= 50 and v = mx) as n_peaks, {R('count(*) filter (v >= 50 and v = mx) * 3600.0 / nullif(max(sec) - min(sec), 0)')} as rate from m group by 1""")
 def _(t):
