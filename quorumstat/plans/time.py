@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import r4, r6
+from ..operators import peaks
 from ..operators import recursive as rc
 from ..operators import timeline as tl
 from .registry import CORR, EV, OL, R, R4, RANK, query
@@ -131,6 +132,31 @@ def _(t):
     return rounded(tl.peak_rate(t.ratings, ["user_id"], "event_id", "sec", "value", 50.0, 43200.0), "rate")
 
 
+def peaks_sql(x, height, distance):
+    """Twin of the peak finder: runs of equal samples, then the highest left puts out its neighbours."""
+    w = "over (partition by user_id order by idx)"
+    r = "over (partition by user_id order by run)"
+    return f"""with recursive {EV}, {IDX}, s as (select user_id, idx, {x}::double as v from ix),
+ f as (select *, case when v is not distinct from lag(v) {w} then 0 else 1 end as new from s), g as (select *, sum(new) {w} as run from f),
+ runs as (select user_id, run, min(idx) as a, max(idx) as z, max(v) as v from g group by 1, 2),
+ nb as (select *, lag(v) {r} as l, lead(v) {r} as n from runs),
+ top as (select user_id, (a + z) // 2 as i, v from nb where l < v and n < v and v >= {height}),
+ r as (select user_id, []::struct(v double, i bigint)[] as kept, list({{'v': v, 'i': i::bigint}} order by v desc, i desc) as open from top group by 1
+ union all select user_id, list_append(kept, open[1]), list_filter(open, lambda p: abs(p.i - open[1].i) >= {distance}) from r where len(open) > 0),
+ k as (select user_id, unnest(kept) as p from r where len(open) = 0)
+ select user_id, p.i as idx, p.v as {x} from k"""
+
+
+@query("W11_find_peaks", peaks_sql("value", 50, 3))
+def _(t):
+    return peaks.find_peaks(series(t), ["user_id"], "idx", "value", 50.0, 3)
+
+
+@query("W11_find_peaks_plateaus", peaks_sql("k", 0, 4))
+def _(t):
+    return peaks.find_peaks(series(t), ["user_id"], "idx", "k", 0.0, 4)
+
+
 @query("W12_event_rate", f"""with {EV}, d as (select user_id, sec - lag(sec) over ({O}) as rr from ev), s as (select user_id, count(rr) as n,
  count(*) filter (rr > 600 and rr < 100000) as ok, avg(rr) filter (rr > 600 and rr < 100000) as m from d group by 1)
  select user_id, n, ok as n_ok, case when ok >= 2 and ok / n >= 0.9 then {R('60 / m')} end as rate from s""")
