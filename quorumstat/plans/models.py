@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import r6
 from ..operators import attribution as at
+from ..operators import kernels as kn
 from ..operators import linear as ln
 from ..operators import models as md
 from .registry import query
@@ -42,6 +43,15 @@ def _(t):
     return rounded(class_score(union_all(parts), ["algo"], "y", "pred"), "auc", "accuracy", "precision", "recall", "auc_flipped")
 
 
+@query("M12_kernel_ridge")
+def _(t):
+    from ..operators.stats import reg_score
+    d = with_folds(t)
+    model = kn.fit(d.filter("fold <> 0"), "vec_id", "v", "y", landmarks=256, alpha=1.0)
+    test = d.filter("fold = 0").withColumn("pred", model.predict("v"))
+    return rounded(reg_score(test.withColumn("algo", F.lit("kernel_ridge")), ["algo"], "y", "pred"), "spearman", "pearson", "r2", "mae")
+
+
 @query("M14_oof_matrix")
 def _(t):
     from ..operators.stats import reg_score
