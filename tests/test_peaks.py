@@ -39,7 +39,7 @@ def frame(spark, series):
     return spark.createDataFrame([(k, i, v) for k, x in series.items() for i, v in enumerate(x)], "unit string, idx long, x double").repartition(5)
 
 
-@pytest.mark.parametrize("rows,height,distance,block", [("60", 0.5, 2, peaks.BLOCK), ("1000000", None, 1, 64), ("1000000", None, 5, 100), ("1000000", None, 5, peaks.BLOCK)])
+@pytest.mark.parametrize("rows,height,distance,block", [("60", 0.5, 2, peaks.BLOCK), ("1000000", None, 1, 64), ("1000000", None, 5, 100), ("1000000", None, 5, 16), ("60", None, 5, 16), ("1000000", None, 5, peaks.BLOCK)])
 def test_equals_the_loop(spark, series, rows, height, distance, block):
     spark.conf.set("quorumstat.chunkRows", rows)
     try:
