@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import r4, r6
-from ..operators import peaks
+from ..operators import peaks, prominence
 from ..operators import recursive as rc
 from ..operators import timeline as tl
 from .registry import CORR, EV, OL, R, R4, RANK, query
@@ -132,7 +132,7 @@ def _(t):
     return rounded(tl.peak_rate(t.ratings, ["user_id"], "event_id", "sec", "value", 50.0, 43200.0), "rate")
 
 
-def peaks_sql(x, height, distance):
+def peaks_sql(x, height, distance, out=None):
     """Twin of the peak finder: runs of equal samples, then the highest left puts out its neighbours."""
     w = "over (partition by user_id order by idx)"
     r = "over (partition by user_id order by run)"
@@ -144,7 +144,7 @@ def peaks_sql(x, height, distance):
  r as (select user_id, []::struct(v double, i bigint)[] as kept, list({{'v': v, 'i': i::bigint}} order by v desc, i desc) as open from top group by 1
  union all select user_id, list_append(kept, open[1]), list_filter(open, lambda p: abs(p.i - open[1].i) >= {distance}) from r where len(open) > 0),
  k as (select user_id, unnest(kept) as p from r where len(open) = 0)
- select user_id, p.i as idx, p.v as {x} from k"""
+ {out or f'select user_id, p.i as idx, p.v as {x} from k'}"""
 
 
 @query("W11_find_peaks", peaks_sql("value", 50, 3))
@@ -157,6 +157,25 @@ def _(t):
     return peaks.find_peaks(series(t), ["user_id"], "idx", "k", 0.0, 4)
 
 
+def prominent_sql(x, height, distance, least):
+    """Twin: samples between a peak and the nearest higher ones."""
+    return peaks_sql(x, height, distance, f""", e as (select k.user_id, k.p.i as i, k.p.v as v, coalesce(max(s.idx) filter (s.idx < k.p.i and s.v > k.p.v), -1) as l,
+ min(s.idx) filter (s.idx > k.p.i and s.v > k.p.v) as r from k join s using (user_id) group by 1, 2, 3),
+ m as (select e.user_id, e.i, e.v, min(s.v) filter (s.idx <= e.i) as a, min(s.v) filter (s.idx >= e.i) as z
+ from e join s on s.user_id = e.user_id and s.idx > e.l and (e.r is null or s.idx < e.r) group by 1, 2, 3)
+ select user_id, i as idx, v as {x}, {R('v - greatest(a, z)')} as prominence from m where v - greatest(a, z) >= {least}""")
+
+
+@query("W11_prominent_peaks", prominent_sql("value", 20, 2, 30))
+def _(t):
+    return rounded(prominence.prominent_peaks(series(t), ["user_id"], "idx", "value", 30.0, 20.0, 2), "prominence")
+
+
+@query("W11_prominent_plateaus", prominent_sql("k", 0, 1, 4))
+def _(t):
+    return rounded(prominence.prominent_peaks(series(t), ["user_id"], "idx", "k", 4.0, 0.0), "prominence")
+
+
 @query("W12_event_rate", f"""with {EV}, d as (select user_id, sec - lag(sec) over ({O}) as rr from ev), s as (select user_id, count(rr) as n,
  count(*) filter (rr > 600 and rr < 100000) as ok, avg(rr) filter (rr > 600 and rr < 100000) as m from d group by 1)
  select user_id, n, ok as n_ok, case when ok >= 2 and ok / n >= 0.9 then {R('60 / m')} end as rate from s""")
