@@ -131,9 +131,10 @@ PARTS = """pp as (select l_partkey, avg(l_quantity) / 50.0::double as a, avg(l_d
 
 
 def parts(t):
+    """Means and SDs of parts; many lie on a threshold, where the order of summation would decide."""
     return t.lineitem.groupBy("l_partkey").agg(
-        (F.avg("l_quantity") / 50.0).alias("a"), (F.avg("l_discount") * 10.0).alias("v"),
-        (F.stddev_samp("l_quantity") / 50.0).alias("a_sd"), (F.stddev_samp("l_discount") * 10.0).alias("v_sd"))
+        F.round(F.avg("l_quantity") / 50.0, 12).alias("a"), F.round(F.avg("l_discount") * 10.0, 12).alias("v"),
+        F.round(F.stddev_samp("l_quantity") / 50.0, 12).alias("a_sd"), F.round(F.stddev_samp("l_discount") * 10.0, 12).alias("v_sd"))
 
 
 @query("P1_extreme_labels", f"""with {PARTS} select l_partkey, {R('a')} as a, {R('v')} as v, (a <= 0.48)::int as label,
