@@ -35,6 +35,8 @@ MASKS = ("1110110101101", "1101011010111", "1011101101011", "1111000111101")
 SPAN, LEAST, PENALTY = 13, 13, 3
 #: Words of a block of the benchmark: about 100 MB of seeds and item words in a task.
 BLOCK_WORDS = 1_000_000
+#: Bytes of text that are hashed at once; temporary arrays take some 65 times as many.
+SLICE_BYTES = 1 << 18
 #: Words with other than ASCII characters that a worker remembers in each of two generations.
 REMEMBERED = 40_000
 _ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
@@ -178,7 +180,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
         def search(frames: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = Block(sent.value[0], pa.array(sent.value[1], pa.large_string()))
             for batch in frames:
-                for part in W.slices(batch, "text"):
+                for part in W.slices(batch, "text", SLICE_BYTES):
                     rows = block.overlaps(part.column(0).to_pylist(), part.column(1))
                     cols = list(zip(*rows, strict=True)) or [[]] * 6
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), *[pa.int32()] * 4], strict=True)],
