@@ -134,7 +134,7 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...], key: str, text: str, samp
     def timed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent = {r.name: [0.0, 0, 0] for r in rules}
         for batch in frames:
-            for part in W.slices(batch, text, W.SLICE_BYTES >> 2):
+            for part in W.slices(batch, text):
                 for r in rules:  # each starts anew, as shared measures would hide its cost
                     t, rows = Texts(part.column(0)), np.arange(part.num_rows)
                     t.words.hash  # splitting and hashing are paid for once, whatever the rule
@@ -170,7 +170,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id
         for series in parts:
             batch = pa.RecordBatch.from_arrays([pa.array(series, type=pa.large_string(), from_pandas=True)], names=["t"])
             frames = []
-            for part in W.slices(batch, "t"):
+            for part in W.slices(batch, "t", W.SLICE_BYTES >> 2):
                 t = Texts(part.column(0))
                 left = np.arange(part.num_rows)
                 reason = np.full(part.num_rows, None, dtype=object)
