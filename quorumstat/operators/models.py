@@ -192,7 +192,8 @@ def virtual_raters(df: DataFrame, unit: str, item: str, key: str, vec: str, dim:
     rater's deviations from the item means."""
     from .linear import decode_units
 
-    d = deviation(df, [item], y, "_dev").withColumn("_mean", F.col(y) - F.col("_dev"))
+    d = deviation(df.select(unit, item, key, vec, y), [item], y, "_dev").withColumn("_mean", F.col(y) - F.col("_dev"))
+    d = cut(d, "raters")  # read six times
     g = spearman(d, [unit], "_mean", y, "rho_group").filter(F.col("n") >= min_rows)
     own = decode_units(d, unit, key, vec, dim, y, folds, n_pc, 0, seed, min_rows=min_rows).select(unit, F.col("rho").alias("rho_own"))
     dev = decode_units(d, unit, key, vec, dim, "_dev", folds, n_pc, 0, seed, min_rows=min_rows).select(unit, F.col("rho").alias("rho_deviation"))
