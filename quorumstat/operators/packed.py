@@ -6,9 +6,11 @@ all the rows of its groups is worked on at once, so many small groups cost no ca
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -118,3 +120,169 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str, n: str) ->
         yield pa.RecordBatch.from_arrays([*cols, pa.array(size, pa.int64()), pa.array(rho, from_pandas=True)], [*by, n, out])
 
     return whole_groups(d, by, fn, schema)
+
+
+def draw(*parts) -> float:
+    """``core.u01`` of texts, for the few draws that belong to a whole group."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def known_ranks(g: np.ndarray, groups: int, x: pa.ChunkedArray) -> np.ndarray:
+    """Average ranks as ``ordered.avg_ranks`` gives them: NaN, in place of NULL, for a NULL."""
+    at = np.flatnonzero(x.is_valid().to_numpy())
+    out = np.full(len(g), np.nan)
+    if len(at):
+        starts = np.searchsorted(g[at], np.arange(groups))
+        out[at] = ranks(g[at], starts, x.to_numpy()[at])
+    return out
+
+
+def corr(g: np.ndarray, groups: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``core.corr`` of each group, with NaN in place of NULL."""
+    total = lambda v: np.bincount(g, v, groups)
+
+    def part(ok, *cols):
+        n = total(ok.astype(float))
+        return n, [np.where(ok, c - (total(np.where(ok, c, 0.0)) / n)[g], 0.0) for c in cols]
+
+    with np.errstate(invalid="ignore", divide="ignore"):
+        ka, kb = ~np.isnan(a), ~np.isnan(b)
+        (n, (da, db)), (na, (ea,)), (nb, (eb,)) = part(ka & kb, a, b), part(ka, a), part(kb, b)
+        scale = np.sqrt(total(ea * ea) / (na - 1)) * np.sqrt(total(eb * eb) / (nb - 1))
+        return np.where((scale > 0) & (n > 1), total(da * db) / (n - 1) / scale, np.nan)
+
+
+def circular_shift(df: DataFrame, by: list[str], idx: str, x: str, y: str, n: int, seed, min_shift: int) -> DataFrame:
+    """(by, obs, null_p95, n_null) of ``resample.circular_shift`` for series that fit a task: shifts are never exchanged."""
+    types = dict(df.dtypes)
+    d = df.select(*by, F.col(idx).cast("bigint").alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    for b in by:
+        d = d.filter(F.col(b).isNotNull())
+    text = F.concat_ws("|", *[F.col(b).cast("string") for b in by])
+
+    def fn(t, starts):
+        k, rows = len(starts), t.num_rows
+        g, size = group_of(starts, rows), np.diff(np.append(starts, rows))
+        i = t.column("_i").to_numpy()
+        rx, ry = known_ranks(g, k, t.column("_x")), known_ranks(g, k, t.column("_y"))
+        obs = corr(g, k, rx, ry)
+        keep = np.flatnonzero(size > 2 * min_shift)
+        names = t.column("_t").take(pa.array(starts)).to_pylist()
+        v = np.full((k, n), np.nan)
+        met = np.zeros(k, bool)
+        dense = np.array_equal(i, np.arange(rows) - starts[g])
+        for r in range(n):
+            sh = np.zeros(k, np.int64)
+            sh[keep] = [min_shift + int(draw(seed, r, names[j]) * (size[j] - 2 * min_shift)) for j in keep]
+            if dense:
+                moved = np.empty(rows)
+                moved[starts[g] + (i + sh[g]) % size[g]] = rx
+                v[:, r], met[:] = np.abs(corr(g, k, moved, ry)), True
+            else:
+                there = t.column("_i").is_valid().to_numpy()
+                one = pd.DataFrame({"g": g, "i": (i + sh[g]) % size[g], "a": rx})[there]
+                m = one.merge(pd.DataFrame({"g": g, "i": i, "b": ry})[there], on=["g", "i"])
+                at = m["g"].to_numpy()
+                v[:, r] = np.abs(corr(at, k, m["a"].to_numpy(), m["b"].to_numpy()))
+                met[at] = True
+        keep = keep[met[keep]]
+        if len(keep):
+            known = (~np.isnan(v[keep])).sum(1)
+            high = np.full(len(keep), np.nan)
+            high[known > 0] = np.nanquantile(v[keep][known > 0], 0.95, axis=1)
+            keys = t.select(by).take(pa.array(starts[keep])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*[keys.column(b).combine_chunks() for b in by], pa.array(obs[keep], from_pandas=True),
+                                              pa.array(high, from_pandas=True), pa.array(known, pa.int64())], [*by, "obs", "null_p95", "n_null"])
+
+    schema = ", ".join([*[f"`{b}` {types[b]}" for b in by], "obs double, null_p95 double, n_null bigint"])
+    return whole_groups(d, by, fn, schema, ["_i"], {"_t": text})
+
+
+def series_lists(df: DataFrame, unit: str, idx: str, x: str, y: str) -> DataFrame:
+    """One row per unit: ``_i`` (steps of the index), ``_x`` and ``_y`` as lists along the index."""
+    types = dict(df.dtypes)
+    d = df.select(unit, F.col(idx).cast("bigint").alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y")).filter(F.col(unit).isNotNull() & F.col("_i").isNotNull())
+
+    def fn(t, starts):
+        i = t.column("_i").to_numpy()
+        step = np.diff(i, prepend=0)
+        step[starts] = i[starts]  # steps repeat, so a shuffle hardly carries them
+        edges = pa.array(np.append(starts, t.num_rows), pa.int32())
+        cols = [t.column("_x").combine_chunks(), t.column("_y").combine_chunks()]
+        yield pa.RecordBatch.from_arrays([t.column(unit).take(pa.array(starts)).combine_chunks(), pa.ListArray.from_arrays(edges, pa.array(step)),
+                                          *[pa.ListArray.from_arrays(edges, c) for c in cols]], [unit, "_i", "_x", "_y"])
+
+    return whole_groups(d, [unit], fn, f"`{unit}` {types[unit]}, _i array<bigint>, _x array<{types[x]}>, _y array<{types[y]}>", ["_i"])
+
+
+def _flat(b: pa.RecordBatch, steps: str, values: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, index, value) of the entries of two list columns."""
+    c = b.column(steps)
+    size = pc.list_value_length(c).to_numpy()
+    row = np.repeat(np.arange(len(size)), size)
+    run = np.cumsum(c.flatten().to_numpy())
+    base = np.append(0, run)[np.cumsum(size) - size]  # what the lists before add up to
+    return row, run - base[row], b.column(values).flatten()
+
+
+def pair_corr(pairs: DataFrame, rep: str) -> DataFrame:
+    """(rep, rho) of rows (rep, _i, _y, _j, _x): Spearman of y and x where the indexes meet."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            (r1, i1, y), (r2, i2, x) = _flat(b, "_i", "_y"), _flat(b, "_j", "_x")
+            first = lambda r: np.searchsorted(r, np.arange(b.num_rows))[r]
+            if np.array_equal(i1, np.arange(len(r1)) - first(r1)) and np.array_equal(i2, np.arange(len(r2)) - first(r2)):
+                both = np.minimum(np.bincount(r1, minlength=b.num_rows), np.bincount(r2, minlength=b.num_rows))
+                at1, at2 = np.flatnonzero(i1 < both[r1]), np.flatnonzero(i2 < both[r2])
+            else:
+                m = pd.DataFrame({"r": r1, "i": i1, "a": np.arange(len(r1))}).merge(pd.DataFrame({"r": r2, "i": i2, "b": np.arange(len(r2))}), on=["r", "i"]).sort_values("r")
+                at1, at2 = m["a"].to_numpy(), m["b"].to_numpy()
+            known = y.is_valid().to_numpy(zero_copy_only=False)[at1] & x.is_valid().to_numpy(zero_copy_only=False)[at2]
+            at1, at2 = at1[known], at2[known]
+            if len(at1):
+                rows, starts = np.unique(r1[at1], return_index=True)
+                rho, _ = rank_corr(starts, y.to_numpy(zero_copy_only=False)[at1], x.to_numpy(zero_copy_only=False)[at2])
+                yield pa.RecordBatch.from_arrays([b.column(rep).take(pa.array(rows)), pa.array(rho, from_pandas=True)], [rep, "rho"])
+
+    return pairs.mapInArrow(run, f"`{rep}` int, rho double")
+
+
+def phase_corr(placed: DataFrame, unit: str, x: str, y: str, n: int, draws: Column) -> DataFrame:
+    """(unit, rep, rho) of y and ``n`` surrogates of x with its spectrum, for series that fit a task.
+
+    ``placed`` has n and t = 0 .. n - 1. ``draws`` gives a row's n phases (in turns) from ``_k``, the frequency;
+    they are worked out behind the shuffle, for the lower half of the frequencies.
+    """
+    types = dict(placed.dtypes)
+    d = placed.select(unit, "n", "t", F.col(x).cast("double").alias("_x"), F.col(y).alias("_y"))
+    half = F.when((F.col("t") > 0) & (2 * F.col("t") < F.col("n")), draws)
+
+    def fn(t, starts):
+        rows = t.num_rows
+        z = t.column("_x").to_numpy()
+        made = np.empty((n, rows))
+        drawn = t.column("_u").combine_chunks()
+        turns = drawn.flatten().to_numpy().reshape(-1, n).T
+        used = 0
+        for a, e in zip(starts, np.append(starts[1:], rows)):
+            half = np.fft.rfft(z[a:e])
+            inner = (e - a - 1) // 2  # frequencies with a mirror image
+            angle = 2 * np.pi * turns[:, used:used + inner]
+            used += inner
+            turned = np.repeat(half[None, :], n, axis=0)
+            turned[:, 1:inner + 1] = np.abs(half[1:inner + 1]) * np.exp(1j * angle)
+            made[:, a:e] = np.fft.irfft(turned, e - a, axis=1) if e - a > 1 else z[a:e]
+        keep = np.flatnonzero(t.column("_y").is_valid().to_numpy())
+        if not len(keep):
+            return
+        v = t.column("_y").to_numpy()[keep]
+        groups, first = np.unique(group_of(starts, rows)[keep], return_index=True)
+        keys = t.column(unit).take(pa.array(starts[groups])).combine_chunks()
+        for r in range(n):
+            rho, _ = rank_corr(first, np.round(made[r, keep], 9), v)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(first), r), pa.int32()), pa.array(rho, from_pandas=True)], [unit, "rep", "rho"])
+
+    return whole_groups(d, [unit], fn, f"`{unit}` {types[unit]}, rep int, rho double", ["t"], {"_k": F.col("t"), "_u": half})

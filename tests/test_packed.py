@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumstat.functions.core import normal, u01
-from quorumstat.operators import linear, packed, stats
+from quorumstat.operators import linear, packed, resample, stats
 
 
 def exchanged(spark, make):
@@ -64,3 +64,44 @@ def test_decode_units_exchange_rows_once(spark, batches):
         spark.conf.unset("quorumstat.chunkRows")
     show = lambda rs: sorted((r["unit"], r["n"], r["rho"], round(r["null_mean"], 9), r["p"]) for r in rs)
     assert len(rows) == 21 and show(rows) == show(sliced)
+
+
+def series(spark, gaps):
+    """1,200 samples of 21 units, with missing values; numbered without or with gaps and repeats."""
+    d = units(spark).select("unit", "key", "y").withColumn("idx", F.expr("row_number() over (partition by unit order by key) - 1L"))
+    if gaps:
+        d = d.withColumn("idx", F.when(F.col("key") % 29 != 0, F.col("idx") + F.floor(F.col("idx") / 7) - F.when(F.col("key") % 23 == 0, 1).otherwise(0)))
+    return d.withColumn("x", F.when(F.col("key") % 19 != 0, F.floor(u01("x", "key") * 40))).select("unit", "idx", "x", "y").localCheckpoint()
+
+
+def both_ways(spark, make):
+    whole, n = exchanged(spark, make)
+    spark.conf.set("quorumstat.chunkRows", "60")
+    try:
+        sliced = make().collect()
+    finally:
+        spark.conf.unset("quorumstat.chunkRows")
+    show = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
+    assert whole and show(whole) == show(sliced)
+    return n
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_circular_shift_exchanges_rows_once(spark, batches, gaps):
+    d = series(spark, gaps)
+    n = both_ways(spark, lambda: resample.circular_shift(d, ["unit"], "idx", "x", "y", 12, "i11", 3).select("unit", "obs", "null_p95", "n_null"))
+    assert n < 2 * 1200  # twelve copies before
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_mismatch_null_exchanges_lists(spark, batches, gaps):
+    d = series(spark, gaps).withColumn("owner", F.col("unit") % 2)
+    for pool in ("all", "own"):
+        n = both_ways(spark, lambda pool=pool: resample.mismatch_null(d, "unit", "idx", "x", "y", 30, "i12", pool, "owner"))
+        assert n < 6 * 1200  # every pair of rows before
+
+
+def test_phase_null_exchanges_rows_few_times(spark, batches):
+    d = series(spark, False).withColumn("x", F.coalesce("x", F.lit(3)).cast("double"))
+    n = both_ways(spark, lambda: resample.phase_null(d, "unit", "idx", "x", "y", 12, "i13"))
+    assert n < 6 * 1200  # twelve copies, there and back, before
