@@ -105,3 +105,9 @@ def test_phase_null_exchanges_rows_few_times(spark, batches):
     d = series(spark, False).withColumn("x", F.coalesce("x", F.lit(3)).cast("double"))
     n = both_ways(spark, lambda: resample.phase_null(d, "unit", "idx", "x", "y", 12, "i13"))
     assert n < 6 * 1200  # twelve copies, there and back, before
+
+
+def test_dose_response_exchanges_rows_once(spark):
+    d = units(spark).select((F.col("key") % 3).alias("flag"), "unit", F.col("key").cast("double").alias("dose"), "y").localCheckpoint()
+    rows, n = exchanged(spark, lambda: stats.spearman(d, ["flag", "unit"], "dose", "y"))
+    assert len(rows) == 41 and n < 1.6 * 1200  # counted pairs and ranks took two exchanges before
