@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.core import col, corr, div, norm_p_two_sided, with_row
-from . import packed
+from . import packed, ranged
 from .ordered import avg_ranks, few, fits, quantiles, scan, squash
 
 
@@ -60,14 +60,17 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "rho", n:
              small: bool | None = None) -> DataFrame:
     """A4: Pearson on average ranks inside ``by``, snapped to 10 places.
 
-    Groups that fit a slice are ranked whole behind one shuffle (``packed``). Otherwise equal
-    (x, y) pairs are counted first, so ties shrink the data before any shuffle.
+    Groups that fit a slice are ranked whole behind one shuffle (``packed``), larger ones by one
+    sort of one side (``ranged``). For other types, and a small table as one group, equal (x, y)
+    pairs are counted first, so ties shrink the data before any shuffle.
     """
-    if packed.plain(df, by, x, y):
+    if ranged.plain(df, by, x, y):
         if small is None:
             small = fits(df, by)
-        if small:
+        if small and by:
             return packed.spearman(df, by, x, y, out, n)
+        if not small:
+            return ranged.spearman(df, by, {out: x}, y).select(*by, F.col("n").alias(n), out)
     p = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(
         F.count(F.lit(1)).alias("_w")
     )
