@@ -6,17 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import u01, with_row
+from . import ranged
 from .neighbours import knn
-from .ordered import keyed_order, meet, row_numbers
+from .ordered import fits, keyed_order, meet, row_numbers
 from .stats import spearman
 from .vectors import doubles
 
 
 def representation_gain(df: DataFrame, axis: str, algo: str, y: str, a: str, ad: str) -> DataFrame:
     """Gain of the wider representation per axis over all models, and its wins."""
-    ra = spearman(df, [axis, algo], y, a, "_ra", "_na").drop("_na")
-    rb = spearman(df, [axis, algo], y, ad, "_rb", "_nb").drop("_nb")
-    g = ra.join(rb, [axis, algo]).withColumn("_g", F.col("_rb") - F.col("_ra"))
+    by = [axis, algo]
+    small = fits(df, by)
+    if not small and ranged.plain(df, by, y, a, ad):
+        g = ranged.spearman(df, by, {"_ra": a, "_rb": ad}, y)
+    else:
+        ra = spearman(df, by, y, a, "_ra", "_na", small).drop("_na")
+        rb = spearman(df, by, y, ad, "_rb", "_nb", small).drop("_nb")
+        g = ra.join(rb, by)
+    g = g.withColumn("_g", F.col("_rb") - F.col("_ra"))
     return g.groupBy(axis).agg(
         F.count(F.lit(1)).alias("n_algos"), F.min("_g").alias("min_gain"), F.max("_g").alias("max_gain"),
         F.percentile("_g", F.lit(0.5)).alias("median_gain"), F.count_if(F.col("_g") > 0).alias("wins"))

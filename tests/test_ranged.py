@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_packed import exchanged
 
 from quorumstat.functions.core import normal, u01
-from quorumstat.operators import ranged, resample
+from quorumstat.operators import ranged, resample, transfer
 
 
 def table(spark):
@@ -65,3 +65,5 @@ def test_replicates_are_not_exchanged(spark, sliced):
     d = d.withColumn("few", F.col("few").cast("double")).localCheckpoint()
     rows, n = exchanged(spark, lambda: resample.boot_spearman(d, "few", "y", "key", 30, "i8"))
     assert n < 30 * d.count()  # every drawn row, several times, before
+    rows, n = exchanged(spark, lambda: transfer.representation_gain(d, "axis", "unit", "y", "few", "wide"))
+    assert len(rows) == 4 and n < 8 * d.count()
