@@ -65,5 +65,7 @@ def test_replicates_are_not_exchanged(spark, sliced):
     d = d.withColumn("few", F.col("few").cast("double")).localCheckpoint()
     rows, n = exchanged(spark, lambda: resample.boot_spearman(d, "few", "y", "key", 30, "i8"))
     assert n < 30 * d.count()  # every drawn row, several times, before
+    rows, n = exchanged(spark, lambda: resample.boot_gain(d, "axis", "key", "y", "few", "wide", 0, 30, "i10")[0])
+    assert len(rows) == 4 and n < 60 * d.count()
     rows, n = exchanged(spark, lambda: transfer.representation_gain(d, "axis", "unit", "y", "few", "wide"))
     assert len(rows) == 4 and n < 8 * d.count()
