@@ -33,9 +33,9 @@ def squash(c) -> Column:
     return F.signum(v) * F.log1p(F.abs(v))
 
 
-def fits(df: DataFrame, by: list[str]) -> bool:
-    """True if every group of ``by`` (the whole table for no keys) fits one slice."""
-    rows = chunk_rows(df)
+def fits(df: DataFrame, by: list[str], most: int | None = None) -> bool:
+    """True if every group of ``by`` (the whole table for no keys) fits one slice (and ``most`` rows)."""
+    rows = min(chunk_rows(df), most or chunk_rows(df))
     if not by:
         return df.count() <= rows
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).isEmpty()

@@ -6,19 +6,24 @@ the next highest one that is left, and so on. That order of decisions is local:
 block of a series together with a margin, except for peaks whose fate hangs on what lies beyond
 the margin. These wait for the next round, in which their neighbours have been settled. The
 highest open peak of a series is settled in every round, so the rounds end; there are two or three
-unless the peaks form a staircase that is longer than a block.
+unless the peaks form a staircase that is longer than a block. Series no longer than a block are
+worked on whole, many at a time, behind one shuffle (``packed``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import nan_to_null
 from ..sources.sinks import cut
+from . import packed
 from .ordered import fits, scan
 
 #: Samples that a block covers, at least.
@@ -90,9 +95,52 @@ def thin(peaks: DataFrame, by: list[str], idx: str, x: str, distance: int, block
             return t.select(*by, F.col("_i").alias(idx), F.col("_v").alias(x))
 
 
+def whole(df: DataFrame, by: list[str], idx: str, block: int) -> bool:
+    """True if every series fits a block and has keys that batches can be cut by."""
+    return packed.plain(df, by, idx) and fits(df, by, block)
+
+
+def whole_peaks(df: DataFrame, by: list[str], idx: str, x: str, height: float | None, distance: int,
+                more: Callable[..., np.ndarray] | None = None) -> DataFrame:
+    """``find_peaks`` of series that fit a block. ``more(v, starts, a, z)`` adds the prominence
+    from all samples, the series' first rows, and the first and last row of every peak."""
+    types = dict(df.dtypes)
+    d = df.select(*by, F.col(idx).cast("long").alias("_i"), nan_to_null(x).alias("_v")).filter(F.col("_i").isNotNull())
+
+    def fn(t, starts):
+        i, v = t.column("_i").to_numpy(), t.column("_v").to_numpy()  # NULL is NaN
+        new = np.append(True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1])))
+        new[starts] = True
+        a = np.flatnonzero(new)
+        z = np.append(a[1:], len(v)) - 1
+        g = packed.group_of(starts, len(v))[a]
+        there = g[1:] == g[:-1]
+        top = np.append(False, there & (v[a][:-1] < v[a][1:])) & np.append(there & (v[a][1:] < v[a][:-1]), False)
+        if height is not None:
+            top &= v[a] >= height
+        a, z, g = a[top], z[top], g[top]
+        at = (i[a] + i[z]) // 2
+        if distance > 1 and len(at):
+            step = np.append(distance, np.where(g[1:] == g[:-1], np.minimum(np.diff(at), distance), distance))
+            pos = np.cumsum(step)  # as far apart as the peaks, where that matters
+            alone = (step >= distance) & np.append(step[1:] >= distance, True)
+            kept = settle(pos, v[a], alone, distance, 0, pos[-1] + distance) == KEPT
+            a, z, at = a[kept], z[kept], at[kept]
+        if not len(at):
+            return
+        cols = {idx: at, x: v[a]} | ({"prominence": more(v, starts, a, z)} if more else {})
+        keys = t.select(by).take(pa.array(a)).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*[keys.column(b).combine_chunks() for b in by], *map(pa.array, cols.values())], [*by, *cols])
+
+    schema = ", ".join([*[f"`{b}` {types[b]}" for b in by], f"`{idx}` bigint, `{x}` double", *(["prominence double"] if more else [])])
+    return packed.whole_groups(d, by, fn, schema, ["_i"])
+
+
 def find_peaks(df: DataFrame, by: list[str], idx: str, x: str, height: float | None = None, distance: int = 1,
                block: int = BLOCK) -> DataFrame:
     """(by, idx, x) of the peaks of at least ``height``, thinned to ``distance`` samples."""
+    if whole(df, by, idx, block):
+        return whole_peaks(df, by, idx, x, height, distance)
     p = local_maxima(df, by, idx, x)
     if height is not None:
         p = p.filter(F.col(x) >= F.lit(float(height)))

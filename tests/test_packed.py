@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumstat.functions.core import normal, u01
-from quorumstat.operators import linear, packed, resample, stats
+from quorumstat.operators import linear, packed, peaks, resample, stats
 
 
 def exchanged(spark, make):
@@ -111,3 +111,9 @@ def test_dose_response_exchanges_rows_once(spark):
     d = units(spark).select((F.col("key") % 3).alias("flag"), "unit", F.col("key").cast("double").alias("dose"), "y").localCheckpoint()
     rows, n = exchanged(spark, lambda: stats.spearman(d, ["flag", "unit"], "dose", "y"))
     assert len(rows) == 41 and n < 1.6 * 1200  # counted pairs and ranks took two exchanges before
+
+
+def test_peaks_exchange_rows_once(spark, batches):
+    d = series(spark, False).withColumn("x", F.when(F.col("idx") % 41 != 0, F.round(F.col("y") * 10))).localCheckpoint()
+    n = both_ways(spark, lambda: peaks.find_peaks(d, ["unit"], "idx", "x", -5.0, 3))
+    assert n < 1.5 * 1200  # runs, their neighbours and blocks before
