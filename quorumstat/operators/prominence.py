@@ -6,7 +6,8 @@ blocks. A task answers what ends inside its block; a peak without a higher sampl
 the first block with a higher maximum in the list of block maxima and minima. In that block only the
 records seen from its border count (its staircase): the lowest record above the peak holds the
 lowest sample before it, which is a running value over peaks and records in order of height. So
-a block that many peaks look into is cut like any other large group.
+a block that many peaks look into is cut like any other large group. Series no longer than a block
+are worked on whole, many at a time, where each begins and ends with an endless height.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from ..functions.core import nan_to_null
 from ..sources.sinks import cut
 from .ordered import meet, scan, union_all
-from .peaks import BLOCK, find_peaks
+from .peaks import BLOCK, find_peaks, whole, whole_peaks
 
 PEAK, STAIR, WHOLE = range(3)
 LEFT, RIGHT = range(2)
@@ -133,8 +134,25 @@ def prominences(samples: DataFrame, peaks: DataFrame, by: list[str], idx: str, x
     return out.select(*by, F.col("_i").alias(idx), x, (F.col(x) - F.col("_base")).alias("prominence"))
 
 
+def in_series(v: np.ndarray, starts: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Prominence of peaks (first row, last row) among the samples of their series; NaN is passed over."""
+    edge = np.zeros(len(v) + 1, int)
+    edge[starts] = 1
+    edge = np.cumsum(edge[:-1])  # walls up to here
+    known = ~np.isnan(v)
+    before = np.cumsum(known) - known  # samples up to here
+    wall = np.full(known.sum() + len(starts) + 1, np.inf)
+    wall[before[known] + edge[known]] = v[known]
+    base = np.full(len(a), -np.inf)
+    for high, pos in ((wall, before[a] + edge[a]), (wall[::-1], len(wall) - 1 - before[z] - edge[z])):
+        base = np.maximum(base, look_left(high, pos, v[a])[0])
+    return v[a] - base
+
+
 def prominent_peaks(df: DataFrame, by: list[str], idx: str, x: str, prominence: float, height: float | None = None,
                     distance: int = 1, block: int = BLOCK) -> DataFrame:
     """Peaks by height, then distance, then at least ``prominence`` above their surroundings."""
+    if whole(df, by, idx, block):
+        return whole_peaks(df, by, idx, x, height, distance, in_series).filter(F.col("prominence") >= F.lit(float(prominence)))
     tops = cut(find_peaks(df, by, idx, x, height, distance, block), "tops")
     return prominences(df, tops, by, idx, x, block).filter(F.col("prominence") >= F.lit(float(prominence)))

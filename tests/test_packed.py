@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumstat.functions.core import normal, u01
-from quorumstat.operators import linear, packed, peaks, resample, stats
+from quorumstat.operators import linear, packed, peaks, prominence, resample, stats
 
 
 def exchanged(spark, make):
@@ -117,3 +117,5 @@ def test_peaks_exchange_rows_once(spark, batches):
     d = series(spark, False).withColumn("x", F.when(F.col("idx") % 41 != 0, F.round(F.col("y") * 10))).localCheckpoint()
     n = both_ways(spark, lambda: peaks.find_peaks(d, ["unit"], "idx", "x", -5.0, 3))
     assert n < 1.5 * 1200  # runs, their neighbours and blocks before
+    n = both_ways(spark, lambda: prominence.prominent_peaks(d, ["unit"], "idx", "x", 4.0, None, 2))
+    assert n < 1.5 * 1200
