@@ -41,6 +41,13 @@ def fits(df: DataFrame, by: list[str], most: int | None = None) -> bool:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).isEmpty()
 
 
+def sizes(df: DataFrame, by: list[str]) -> tuple[bool, int]:
+    """Whether every group fits one slice, and tasks of at most half a slice for all rows (groups permitting)."""
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    tasks = -(-2 * (n[1] or 0) // chunk_rows(df))
+    return (n[0] or 0) <= chunk_rows(df), max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
+
+
 def few(df: DataFrame, *cols: str) -> bool:
     """True if the number of distinct keys fits one slice."""
     return fits(df.select(*cols).distinct(), [])

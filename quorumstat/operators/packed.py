@@ -39,13 +39,14 @@ def _changes(t: pa.Table, by: list[str]) -> np.ndarray:
 
 
 def whole_groups(df: DataFrame, by: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str,
-                 order: list[str] | None = None, add: dict[str, Column] | None = None) -> DataFrame:
+                 order: list[str] | None = None, add: dict[str, Column] | None = None, tasks: int | None = None) -> DataFrame:
     """``fn(table, starts)`` on tables of whole groups, rows in the given order inside each.
 
     ``starts`` holds the first row of every group. ``add`` names columns that are worked out
-    behind the shuffle. A task holds one batch and its longest group.
+    behind the shuffle. A task holds one batch and its longest group, and sorts its share of the rows:
+    with ``tasks`` from ``ordered.sizes`` that share doesn't grow with the table.
     """
-    d = df.repartition(*by).sortWithinPartitions(*by, *(order or [])).withColumns(add or {})
+    d = (df.repartition(tasks, *by) if tasks else df.repartition(*by)).sortWithinPartitions(*by, *(order or [])).withColumns(add or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the group that may go on
@@ -107,7 +108,7 @@ def rank_corr(starts: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndar
         return np.round(np.where(scale > 0, total(a * b) / scale, np.nan), 10), n
 
 
-def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str, n: str) -> DataFrame:
+def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str, n: str, tasks: int | None = None) -> DataFrame:
     """A4 for groups that fit a task: each row is shuffled once."""
     types = dict(df.dtypes)
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
@@ -119,7 +120,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str, n: str) ->
         cols = [keys.column(b).combine_chunks() for b in by]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(size, pa.int64()), pa.array(rho, from_pandas=True)], [*by, n, out])
 
-    return whole_groups(d, by, fn, schema)
+    return whole_groups(d, by, fn, schema, tasks=tasks)
 
 
 def draw(*parts) -> float:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.core import col, corr, div, norm_p_two_sided, with_row
 from . import packed, ranged
-from .ordered import avg_ranks, few, fits, quantiles, scan, squash
+from .ordered import avg_ranks, few, fits, quantiles, scan, sizes, squash
 
 
 def item_means(df: DataFrame, item: list[str], unit: str, cols: list[str]) -> DataFrame:
@@ -65,10 +65,11 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "rho", n:
     pairs are counted first, so ties shrink the data before any shuffle.
     """
     if ranged.plain(df, by, x, y):
+        tasks = None
         if small is None:
-            small = fits(df, by)
+            small, tasks = sizes(df, by)
         if small and by:
-            return packed.spearman(df, by, x, y, out, n)
+            return packed.spearman(df, by, x, y, out, n, tasks)
         if not small:
             return ranged.spearman(df, by, {out: x}, y).select(*by, F.col("n").alias(n), out)
     p = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(

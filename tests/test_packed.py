@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumstat.functions.core import normal, u01
-from quorumstat.operators import linear, packed, peaks, prominence, resample, stats
+from quorumstat.operators import linear, ordered, packed, peaks, prominence, resample, stats
 
 
 def exchanged(spark, make):
@@ -119,3 +119,16 @@ def test_peaks_exchange_rows_once(spark, batches):
     assert n < 1.5 * 1200  # runs, their neighbours and blocks before
     n = both_ways(spark, lambda: prominence.prominent_peaks(d, ["unit"], "idx", "x", 4.0, None, 2))
     assert n < 1.5 * 1200
+
+
+def test_tasks_grow_with_the_rows(spark):
+    d = units(spark).select("unit", F.col("key").cast("double").alias("dose"), "y").localCheckpoint()
+    spark.conf.set("quorumstat.chunkRows", "600")
+    try:
+        assert ordered.sizes(d, ["unit"]) == (True, 8) and ordered.sizes(d.unionByName(d), ["unit"]) == (False, 8)
+        many = d.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("unit", F.col("unit") + F.col("_k") * 100)
+        assert ordered.sizes(many, ["unit"]) == (True, 32)  # 9,600 rows, 300 each
+        got = stats.spearman(many, ["unit"], "dose", "y")
+        assert got.rdd.getNumPartitions() == 32 and got.count() == 21 * 8
+    finally:
+        spark.conf.unset("quorumstat.chunkRows")
