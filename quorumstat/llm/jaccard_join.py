@@ -9,10 +9,13 @@ set a fixed order.
    documents report the first three tenths of each set; classes that share too few of these
    are done with. Between blocks a shingle has one row per block, however many documents
    have it.
-2. Two linked sets share a shingle in the first n - ceil(0.8 n) + 1 of each. For each such
-   shingle the class with the least document id is the pivot; a pivot's region holds all
-   classes that chose it by some shingle, so a class near a border is in several regions and
-   each linked pair is together in one.
+2. Shingles of the classes left are counted and ordered by the number of classes that have
+   them, then by hash. Two linked sets share a shingle in the first n - ceil(0.8 n) + 1 of each
+   in that order, where those that no other class has come first and choose nothing; classes
+   with enough of them are done with. For each shingle chosen the class with the least document
+   id is the pivot; a pivot's region holds all classes that chose it by some shingle, so a class
+   near a border is in several regions and each linked pair is together in one. Rare shingles
+   make few and small regions, and a region's sets are all that travels.
 3. A region is joined exactly: distances to some pivots are kept, and by the triangle
    inequality x and y are compared only if their distances to each pivot differ by r or less
    (and their sizes allow a link, and no chain of links joins them yet).
@@ -101,7 +104,7 @@ def _block_sets(t: pa.Table):
 
 
 def report(t: pa.Table) -> pa.Table:
-    """Distinct reported shingles of a block with the least and greatest class that has each."""
+    """Distinct reported shingles of a block with the class that has each; null: several have it."""
     token, cls, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], set()
     for _, all_sets in _block_sets(t):
         for s in all_sets:
@@ -116,7 +119,7 @@ def report(t: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     last = np.append(first[1:], len(token)) - 1
     block = t.column("_block")[0].as_py()
-    return pa.table({"token": token[first].view(np.int64), "_block": pa.array(np.full(len(first), block), pa.int32()), "lo": cls[first], "hi": cls[last]})
+    return pa.table({"token": token[first].view(np.int64), "_block": pa.array(np.full(len(first), block), pa.int32()), "c": pa.array(cls[first], mask=cls[first] != cls[last])})
 
 
 def classify(t: pa.Table, shared: pa.Table) -> pa.Table:
@@ -140,12 +143,41 @@ def classify(t: pa.Table, shared: pa.Table) -> pa.Table:
     return pa.table({"_id": pa.array(ids, pa.int64()), "n": pa.array(size, pa.int64()), "c": pa.array(cls, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
 
+def tally(t: pa.Table) -> pa.Table:
+    """Distinct shingles of a block of classes and how many of its classes have each."""
+    token, k = np.unique(_flat(t.column("tokens")), return_counts=True)
+    return pa.table({"token": token, "_block": pa.array(np.full(len(token), t.column("_block")[0].as_py()), pa.int32()), "k": k})
+
+
+def rarest(t: pa.Table, met: pa.Table) -> pa.Table:
+    """Shingles by which the classes of a block choose pivots: the rarest of those in ``met``.
+
+    ``met`` has all shingles of the block that several classes have, with their number.
+    """
+    tokens = t.column("tokens")
+    flat, size = _flat(tokens), pa.compute.list_value_length(tokens).to_numpy().astype(np.int64)
+    want, many = met.column("token").to_numpy(), met.column("many").to_numpy()
+    by = np.argsort(want)
+    at = np.minimum(np.searchsorted(want, flat, sorter=by), max(len(want) - 1, 0))
+    own = np.repeat(np.arange(len(size)), size)
+    some = want[by[at]] == flat if len(want) else np.zeros(len(flat), dtype=bool)
+    flat, own, many = flat[some], own[some], many[by[at[some]]] if len(want) else flat[:0]
+    order = np.lexsort((flat, many, own))
+    left = np.bincount(own, minlength=len(size))
+    place = np.arange(len(own)) - np.repeat(np.cumsum(left) - left, left)
+    first = order[place < (size - least_shared(size) + 1 - (size - left))[own[order]]]
+    return pa.table({"c": t.column("c").take(own[first]), "lo": t.column("lo").take(own[first]), "token": flat[first]})
+
+
+def _flat(tokens: pa.Array) -> np.ndarray:
+    return (tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens).flatten().to_numpy()
+
+
 class Region:
     """Sets of some classes with an index from shingle to members."""
 
     def __init__(self, tokens: pa.Array):
-        tokens = tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens
-        flat = tokens.flatten().to_numpy().view(np.uint64)
+        flat = _flat(tokens).view(np.uint64)
         self.size = np.asarray(pa.compute.list_value_length(tokens)).astype(np.int64)
         self.bounds = np.append(0, np.cumsum(self.size))
         self.flat = flat
@@ -259,7 +291,7 @@ def join_chunks(t: pa.Table) -> pa.Table:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, v): each linked class but the least of its component, and that least class."""
     spark = edges.sparkSession
-    edges = store.keep(edges.select("u", "v").filter("u <> v").distinct(), "links")
+    edges = store.settle(edges.select("u", "v").filter("u <> v").distinct(), "links")
     before = None
     for _ in range(most_rounds):
         for small in (False, True):
@@ -273,7 +305,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 new = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
             else:
                 new = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            edges = store.keep(new.filter("u <> v").distinct(), "links")
+            edges = store.settle(new.filter("u <> v").distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges
@@ -287,38 +319,43 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", block_byte
     size = slim.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = max(64, -(-size // block_bytes))
     dealt = slim.withColumn("_block", F.pmod(F.xxhash64("_id", F.when(F.col("_id").isNull(), F.col("_text"))), F.lit(n)).cast("int"))
-    seen = dealt.groupBy("_block").applyInArrow(report, "token long, _block int, lo long, hi long")
+    seen = dealt.groupBy("_block").applyInArrow(report, "token long, _block int, c long")
     same = Window.partitionBy("token")
-    shared = seen.withColumn("_shared", F.min("lo").over(same) < F.max("hi").over(same)).filter("_shared").select("_block", "token")
+    several = F.max(F.col("c").isNull()).over(same) | (F.min("c").over(same) < F.max("c").over(same))
+    shared = seen.withColumn("_shared", several).filter("_shared").select("_block", "token")
     out = dealt.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(lambda a, b: classify(a, b), "_id long, n long, c long, tokens array<long>")
-    return store.keep(out, "classes")
+    return store.settle(out, "classes")
 
 
-def regions(v: DataFrame) -> DataFrame:
-    """(p, c): every class of v in the region of each pivot that its first shingles have."""
-    first = F.slice("tokens", 1, (F.col("n") - F.floor((F.col("n") * PER_CENT + 99) / 100) + 1).cast("int"))
-    chosen = v.select("c", "lo", F.explode(first).alias("token"))
+def regions(v: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(p, c): every class of v in the region of each pivot that its rarest shared shingles have."""
+    size = 8 * (v.agg(F.sum("n")).first()[0] or 0)
+    dealt = v.select("c", "lo", "tokens", F.pmod(F.xxhash64("c"), F.lit(max(64, -(-size // block_bytes)))).cast("int").alias("_block"))
+    seen = dealt.groupBy("_block").applyInArrow(tally, "token long, _block int, k long")
+    met = seen.withColumn("many", F.sum("k").over(Window.partitionBy("token"))).filter("many > 1").select("_block", "token", "many")
+    chosen = dealt.groupBy("_block").cogroup(met.groupBy("_block")).applyInArrow(lambda a, b: rarest(a, b), "c long, lo long, token long")
+    chosen = store.settle(chosen, "chosen")
     pivot = chosen.groupBy("token").agg(F.min(F.struct(F.col("lo").isNull().alias("none"), "lo", "c")).alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.col("p.c").alias("p"))
     return chosen.select("token", "c").join(pivot, "token").select("p", "c").distinct()
 
 
 def link(v: DataFrame, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """Links (u, v) that join the classes of v into their components."""
-    member = store.keep(regions(v).join(v.select("c", "lo", "n"), "c"), "regions")
+    member = store.settle(regions(v).join(v.select("c", "lo", "n"), "c"), "regions")
     weight = member.groupBy("p").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     sized = member.join(weight, "p").withColumn("chunks", F.ceil(F.col("weight") * 2 / region_shingles).cast("int"))
     held = v.select("c", "tokens")
     small = sized.filter(F.col("weight") <= region_shingles).select("p", "c", "lo").join(held, "c")
     edges = small.groupBy("p").applyInArrow(join_region, "u long, v long")
     large = sized.filter(F.col("weight") > region_shingles).withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int")).select("p", "c", "lo", "n", "chunks", "chunk")
-    large = store.keep(large, "large-regions")
+    large = store.settle(large, "large-regions")
     if large.isEmpty():
         return edges
     rank = Window.partitionBy("p").orderBy(F.col("c") != F.col("p"), F.col("lo").asc_nulls_last(), "c")  # a limit on the rank is applied before the exchange
     leads = large.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= PIVOTS)
     leads = leads.select("p", "c", "lo", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("lead"))
     rows = large.select("p", "c", "lo", "chunk", F.lit(False).alias("lead")).union(leads.select("p", "c", "lo", "chunk", "lead")).join(held, "c")
-    told = store.keep(rows.groupBy("p", "chunk").applyInArrow(split_region, "p long, c long, inner boolean, centre long"), "centres")
+    told = store.settle(rows.groupBy("p", "chunk").applyInArrow(split_region, "p long, c long, inner boolean, centre long"), "centres")
     inner = told.filter("inner and c <> centre").select(F.col("c").alias("u"), F.col("centre").alias("v"))
     outer = told.filter("not inner").select("p", "c")
     n_outer = outer.join(large.select("p", "c", "n"), ["p", "c"]).groupBy("p").agg(F.ceil(F.sum("n") * 2 / region_shingles).cast("int").alias("outs"))
@@ -336,7 +373,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     d = classes(docs, key, text, block_bytes)
     least = d.filter("c is not null").groupBy("c").agg(F.min("_id").alias("lo"))
     v = d.filter("tokens is not null").select("c", "n", "tokens").dropDuplicates(["c"]).join(least, "c")
-    v = store.keep(v, "candidates")
+    v = store.settle(v, "candidates")
     tied = components(link(v, region_shingles))
     stars = tied.union(tied.select("v", "v").distinct()).toDF("c", "root").join(least, "c")
     lowest = stars.groupBy("root").agg(F.min("lo").alias("low"))

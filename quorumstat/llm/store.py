@@ -27,6 +27,21 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """As ``keep``; the shuffle files behind the table go as soon as it is written.
+
+    Else they stay until the driver happens to collect its garbage, and those of several
+    steps add up on the disks.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return keep(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def named(df: DataFrame) -> list[str]:
     """The column names of a table, quoted."""
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]

@@ -132,6 +132,54 @@ def test_jaccard_nested_texts(spark):
     assert sorted(map(key, got)) == sorted(map(key, brute_components(rows)))
 
 
+def test_jaccard_regions_by_rare_shingles(spark):
+    """Texts that only share frequent passages are in no region; a near copy is in few, however many passages it has."""
+    own = lambda k, n: " ".join(f"d{k}x{i}" for i in range(n))
+    passages = [" ".join(f"p{j}q{i}" for i in range(9)) for j in range(30)]
+    rows = [(k, " ".join(f"{own(100 * k + j, 6)} {passages[(k + 7 * j) % 30]}" for j in range(12))) for k in range(120)]
+    rows += [(1000 + k, f"{t} tail{k}") for k, t in rows[:20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    d = jaccard_join.classes(docs)
+    v = d.filter("tokens is not null").select("c", "n", "tokens", F.col("_id").alias("lo"))
+    member = jaccard_join.regions(v).groupBy("p").count().filter("count > 1")
+    assert sorted(x["count"] for x in member.collect()) == [2] * 20
+    got = jaccard_join.near_duplicates(docs).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute_components(rows)))
+
+
+def test_rarest_shingles_of_linked_sets_meet():
+    """Any two sets that link choose a shingle in common, whatever the numbers of their owners."""
+    import numpy as np
+
+    g = np.random.default_rng(8)
+    pool = np.sort(g.integers(-(1 << 62), 1 << 62, 60))
+    sets = [np.sort(g.choice(pool, n, replace=False)) for n in g.integers(2, 12, 300)]
+    sets += [np.sort(np.unique(np.append(s[: len(s) - i % 2], g.choice(pool, i % 3)))) for i, s in enumerate(sets)]
+    t = pa.table({"c": pa.array(range(len(sets)), pa.int64()), "lo": pa.array([None] + list(range(1, len(sets))), pa.int64()), "tokens": pa.array(sets, pa.list_(pa.int64())), "_block": pa.array([0] * len(sets), pa.int32())})
+    met = jaccard_join.tally(t)
+    met = met.rename_columns(["token", "_block", "many"]).filter(pa.compute.greater(met.column("k"), 1))
+    chosen = defaultdict(set)
+    got = jaccard_join.rarest(t, met)
+    for c, token in zip(got["c"].to_pylist(), got["token"].to_pylist(), strict=True):
+        chosen[c].add(token)
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    assert len(linked) > 100 and all(chosen[a] & chosen[b] for a, b in linked)
+
+
+def test_settle_drops_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    files = [str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {p for d in files for p in Path(d).rglob("shuffle_*.data")}
+    before, until = shuffles(), time.time() + 20
+    settled = store.settle(spark.range(1000).groupBy(F.col("id") % 7).agg(F.count(F.lit(1)).alias("n")), "settled")
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before and settled.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 def test_components_of_a_long_path(spark):
     got = jaccard_join.components(spark.range(40).selectExpr("id + 1 as u", "id as v")).collect()
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(1, 41)]
