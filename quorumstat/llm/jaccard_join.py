@@ -103,8 +103,22 @@ def _block_sets(t: pa.Table):
             yield part.column(0).to_pylist(), sets(W.words(part.column(1), fold=True))
 
 
-def report(t: pa.Table) -> pa.Table:
-    """Distinct reported shingles of a block with the class that has each; null: several have it."""
+def _flat(tokens: pa.Array) -> np.ndarray:
+    return (tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens).flatten().to_numpy()
+
+
+def _lists(by: np.ndarray, *values: np.ndarray | pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """The distinct numbers in ``by``, which is sorted, and for each the list of every column's values."""
+    name, first = np.unique(by, return_index=True)
+    off = pa.array(np.append(first, len(by)), pa.int32())
+    return name, [pa.ListArray.from_arrays(off, v if isinstance(v, pa.Array) else pa.array(v)) for v in values]
+
+
+def report(t: pa.Table, slots: int) -> pa.Table:
+    """Distinct reported shingles of a block with the class that has each; null: several have it.
+
+    A row has the shingles of one slot: as single rows they would take a third more disk.
+    """
     token, cls, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], set()
     for _, all_sets in _block_sets(t):
         for s in all_sets:
@@ -118,13 +132,33 @@ def report(t: pa.Table) -> pa.Table:
     token, cls = token[order], cls[order]
     first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     last = np.append(first[1:], len(token)) - 1
+    slot = (token[first] % np.uint64(slots)).astype(np.int32)
+    by = np.argsort(slot, kind="stable")
+    first, last = first[by], last[by]
+    name, (token, c) = _lists(slot[by], token[first].view(np.int64), pa.array(cls[first], mask=cls[first] != cls[last]))
     block = t.column("_block")[0].as_py()
-    return pa.table({"token": token[first].view(np.int64), "_block": pa.array(np.full(len(first), block), pa.int32()), "c": pa.array(cls[first], mask=cls[first] != cls[last])})
+    return pa.table({"slot": name, "_block": pa.array(np.full(len(name), block), pa.int32()), "token": token, "c": c})
+
+
+def shared_by_classes(t: pa.Table) -> pa.Table:
+    """Of the shingles of a slot those that several classes have, for each block that reports them."""
+    c = t.column("c").combine_chunks().flatten()
+    token, several, c = _flat(t.column("token")), np.asarray(c.is_null()), c.fill_null(0).to_numpy()
+    block = np.repeat(t.column("_block").to_numpy(), pa.compute.list_value_length(t.column("token")).to_numpy())
+    by = np.argsort(token, kind="stable")
+    token, several, c, block = token[by], several[by], c[by], block[by]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    met = np.logical_or.reduceat(several, first) | (np.minimum.reduceat(c, first) < np.maximum.reduceat(c, first))
+    met = np.repeat(met, np.diff(np.append(first, len(token))))
+    token, block = token[met], block[met]
+    by = np.argsort(block, kind="stable")
+    name, (token,) = _lists(block[by], token[by])
+    return pa.table({"_block": name, "token": token})
 
 
 def classify(t: pa.Table, shared: pa.Table) -> pa.Table:
     """Every row's set size and class; the first row of a class that may link has the set as well."""
-    want = np.unique(shared.column("token").to_numpy().view(np.uint64))
+    want = np.unique(_flat(shared.column("token")).view(np.uint64))
     ids, size, cls, tokens, seen = [], [], [], [], set()
     for own, all_sets in _block_sets(t):
         for i, s in zip(own, all_sets, strict=True):
@@ -169,10 +203,6 @@ def rarest(t: pa.Table, met: pa.Table) -> pa.Table:
     return pa.table({"c": t.column("c").take(own[first]), "lo": t.column("lo").take(own[first]), "token": flat[first]})
 
 
-def _flat(tokens: pa.Array) -> np.ndarray:
-    return (tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens).flatten().to_numpy()
-
-
 class Region:
     """Sets of some classes with an index from shingle to members."""
 
@@ -319,10 +349,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", block_byte
     size = slim.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = max(64, -(-size // block_bytes))
     dealt = slim.withColumn("_block", F.pmod(F.xxhash64("_id", F.when(F.col("_id").isNull(), F.col("_text"))), F.lit(n)).cast("int"))
-    seen = dealt.groupBy("_block").applyInArrow(report, "token long, _block int, c long")
-    same = Window.partitionBy("token")
-    several = F.max(F.col("c").isNull()).over(same) | (F.min("c").over(same) < F.max("c").over(same))
-    shared = seen.withColumn("_shared", several).filter("_shared").select("_block", "token")
+    seen = dealt.groupBy("_block").applyInArrow(lambda t: report(t, n), "slot int, _block int, token array<long>, c array<long>")
+    shared = seen.groupBy("slot").applyInArrow(shared_by_classes, "_block int, token array<long>")
     out = dealt.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(lambda a, b: classify(a, b), "_id long, n long, c long, tokens array<long>")
     return store.settle(out, "classes")
 

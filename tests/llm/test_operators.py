@@ -147,6 +147,23 @@ def test_jaccard_regions_by_rare_shingles(spark):
     assert sorted(map(key, got)) == sorted(map(key, brute_components(rows)))
 
 
+def test_jaccard_reports_are_packed(spark):
+    """A block reports at most one row for each slot, with every shingle once, and finds those that several classes have."""
+    texts = [" ".join(f"k{k}v{i}" for i in range(400)) for k in range(20)]
+    texts += [texts[0] + " end", texts[1], texts[2].replace("v7 ", "v7x ")]
+    t = pa.table({"_id": pa.array(range(len(texts)), pa.int64()), "_text": texts, "_block": pa.array([5] * len(texts), pa.int32())})
+    seen = jaccard_join.report(t, 7)
+    tokens = [x for row in seen["token"].to_pylist() for x in row]
+    assert sorted(seen["slot"].to_pylist()) == list(range(7)) and len(tokens) == len(set(tokens)) > 2000
+    several = {x for row, c in zip(seen["token"].to_pylist(), seen["c"].to_pylist(), strict=True) for x, y in zip(row, c, strict=True) if y is None}
+    other = seen.slice(0, 3).set_column(1, "_block", pa.array([6] * 3, pa.int32()))
+    for twin in (other, other.set_column(3, "c", pa.array([[1] * len(x) for x in other["token"].to_pylist()], pa.list_(pa.int64())))):
+        got = pa.concat_tables([jaccard_join.shared_by_classes(pa.concat_tables([seen, twin]).filter(pa.compute.equal(pa.concat_tables([seen, twin])["slot"], k))) for k in range(7)])
+        found = {b: {x for c, row in zip(got["_block"].to_pylist(), got["token"].to_pylist(), strict=True) if c == b for x in row} for b in (5, 6)}
+        here = {x for row in other["token"].to_pylist() for x in row}
+        assert several and found[6] == (several & here if twin is other else here) and found[5] == several | found[6]
+
+
 def test_rarest_shingles_of_linked_sets_meet():
     """Any two sets that link choose a shingle in common, whatever the numbers of their owners."""
     import numpy as np
